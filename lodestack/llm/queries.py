@@ -9,18 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestack.llm.common import table
 from lodestack.llm.hnsw import embedding_groups
 from lodestack.llm.simhash import simhash_groups
+from lodestack.llm.suffix_dedup import remove_repeats
 
 
 def op1_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_groups(table(spark, sf_dir, "embeddings"))
+    return embedding_groups(table(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_hnsw_dedup, op3_simhash]
+    found = [op1_hnsw_dedup, op3_simhash, op8_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -36,7 +41,7 @@ links AS (
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
   least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
-  component_id = e.vec_id AS kept, CASE WHEN n_links > 0 THEN 1.0::DOUBLE END AS audited_recall
+  component_id = e.vec_id AS kept
 FROM embeddings e"""
 
 
