@@ -7,25 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.common import table
+from lodestack.llm.decontam import leaks
 from lodestack.llm.hnsw import embedding_groups
+from lodestack.llm.quality import quality_scores
 from lodestack.llm.simhash import simhash_groups
 from lodestack.llm.suffix_dedup import remove_repeats
+from lodestack.llm.toxicity import toxicity_scores
 
 
 def op1_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_hnsw_dedup, op3_simhash, op8_suffix_dedup]
+    found = [op1_hnsw_dedup, op2_decontaminate, op3_simhash, op4_toxicity, op8_suffix_dedup, op10_quality]
     return {f.__name__: f for f in found}
 
 
