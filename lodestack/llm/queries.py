@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestack.llm.chat import chat_digests
 from lodestack.llm.common import table
 from lodestack.llm.decontam import leaks
 from lodestack.llm.hnsw import embedding_groups
+from lodestack.llm.html_text import extract_pages
 from lodestack.llm.quality import quality_scores
 from lodestack.llm.simhash import simhash_groups
 from lodestack.llm.suffix_dedup import remove_repeats
@@ -31,6 +33,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = "</s>[INST] ok [/INST]"
+    return chat_digests(table(spark, sf_dir, "conversations"), [(-1, 0, "user", same), (-1, 1, "assistant", same)])
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
@@ -40,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_hnsw_dedup, op2_decontaminate, op3_simhash, op4_toxicity, op8_suffix_dedup, op10_quality]
+    found = [op1_hnsw_dedup, op2_decontaminate, op3_simhash, op4_toxicity, op5_html_text, op7_chat, op8_suffix_dedup, op10_quality]
     return {f.__name__: f for f in found}
 
 
@@ -59,6 +70,19 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
   component_id = e.vec_id AS kept
 FROM embeddings e"""
 
+#: The texts themselves; control strings and backslashes cost one character each where they are escaped.
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length(role || text) + 23 + len(regexp_extract_all(role || chr(10) || text, '\\\\|<\||</?s>|<</?SYS>>|\[/?INST\]'))) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM c"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hnsw_dedup": OP1_SQL}
+    return {"op1_hnsw_dedup": OP1_SQL, "op7_chat": OP7_SQL}
