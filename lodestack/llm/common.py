@@ -27,3 +27,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which every machine of the cluster has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.chat import chat_digests
-from lodestack.llm.common import table
+from lodestack.llm.common import table, vocabulary
 from lodestack.llm.decontam import leaks
 from lodestack.llm.hnsw import embedding_groups
 from lodestack.llm.html_text import extract_pages
+from lodestack.llm.piece_codec import encode_pieces
 from lodestack.llm.quality import quality_scores
 from lodestack.llm.simhash import simhash_groups
 from lodestack.llm.suffix_dedup import remove_repeats
+from lodestack.llm.token_codec import token_digests
 from lodestack.llm.toxicity import toxicity_scores
 
 
@@ -37,6 +39,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = "</s>[INST] ok [/INST]"
     return chat_digests(table(spark, sf_dir, "conversations"), [(-1, 0, "user", same), (-1, 1, "assistant", same)])
@@ -46,12 +52,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_hnsw_dedup, op2_decontaminate, op3_simhash, op4_toxicity, op5_html_text, op7_chat, op8_suffix_dedup, op10_quality]
+    found = [op1_hnsw_dedup, op2_decontaminate, op3_simhash, op4_toxicity, op5_html_text, op6_token_files, op7_chat, op8_suffix_dedup, op9_sentencepiece, op10_quality]
     return {f.__name__: f for f in found}
 
 
