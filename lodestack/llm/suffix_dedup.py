@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import staged
+from lodestack.llm.common import discard, staged
 
 MATCH = 200
-GRAM = 64
+GRAM = 40
 PIECE = 1 << 20  # bytes of a text that are hashed at once
 RUN_ROWS = 40_000  # suffixes of a sorted run
 PART_ROWS = 40_000  # suffixes that one merge gets
@@ -153,11 +153,11 @@ def repeated_offsets(known: np.ndarray, right: np.ndarray, lefts: list[bytes], t
     return least, most
 
 
-def _blocks(contexts: dict[bytes, list], parts: int, match: int) -> Iterator[dict]:
+def _blocks(contexts: dict[bytes, list], parts: int, gram: int) -> Iterator[dict]:
     """One front-coded sorted run for each part; contexts: key -> [left reversed, right, times]."""
     by: dict[int, list] = {}
     for key, (left, right, times) in contexts.items():
-        by.setdefault(xxhash.xxh64_intdigest(right[:GRAM], 1) % parts, []).append((right, left, times, key))
+        by.setdefault(xxhash.xxh64_intdigest(right[:gram], 1) % parts, []).append((right, left, times, key))
     for part, rows in by.items():
         rows.sort()
         known, rest, sizes = front_code([x[0] for x in rows])
@@ -193,7 +193,10 @@ def _merge(match: int, gram: int):
 
 
 def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gram: int = HOT_GRAM) -> DataFrame:
-    """(id, th, spans array of (lo, hi)) of texts with repeated bytes; docs: id, text not null, th."""
+    """(id, th, text, spans array of (lo, hi)) of texts with repeated bytes; docs: id, text not null, th.
+
+    Places are kept by id alone; a place that belongs to another text with the same id only adds a suffix to sort.
+    """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -201,11 +204,12 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
                 part = x.iloc[i : i + 200]
                 found = [anchors(t.encode("utf-8", "surrogatepass"), match, gram) for t in part["text"]]
                 n = [len(p) for p, _ in found]
-                yield pd.DataFrame({"id": part["id"].repeat(n), "th": part["th"].repeat(n), "pos": np.concatenate([p for p, _ in found]), "h": np.concatenate([h for _, h in found])})
+                yield pd.DataFrame({"id": part["id"].repeat(n), "pos": np.concatenate([p for p, _ in found]), "h": np.concatenate([h for _, h in found])})
 
-    at = staged(docs.mapInPandas(find, "id long, th long, pos int, h long"), "anchors")
+    at = staged(docs.mapInPandas(find, "id long, pos int, h long"), "anchors")
     twice = at.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot_gram).alias("hot"))
-    lists = staged(at.join(twice, "h").groupBy("id", "th").agg(F.collect_set(F.struct("pos", "hot")).alias("places")), "places")
+    lists = staged(at.join(twice, "h").groupBy("id").agg(F.collect_set(F.struct("pos", "hot")).alias("places")), "places")
+    discard(at)
     total = lists.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = int(total // PART_ROWS) + 1
 
@@ -216,31 +220,33 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
                 rows, hot_rows = [], {}
                 for row_id, th, text, places in x.iloc[i : i + 200][["id", "th", "text", "places"]].itertuples(index=False):
                     data = text.encode("utf-8", "surrogatepass")
-                    keys = []
+                    keys, kept = [], []
                     for place in places:
-                        pos = place["pos"]
+                        if (pos := place["pos"]) + gram > len(data):
+                            continue
                         left, right = data[max(0, pos - match + gram) : pos][::-1], data[pos : pos + match]
                         key = xxhash.xxh3_128_digest(len(left).to_bytes(4, "big") + left + right)
                         keys.append(key)
                         (hot_rows if place["hot"] else contexts).setdefault(key, [left, right, 0])[2] += 1
-                    rows.append({"kind": 0, "id": row_id, "th": th, "pos": [p["pos"] for p in places], "cks": keys})
+                        kept.append(pos)
+                    rows.append({"kind": 0, "id": row_id, "th": th, "text": text, "pos": kept, "cks": keys})
                 yield pd.DataFrame(rows)
                 if hot_rows:
                     yield pd.DataFrame([{"kind": 2, "ck": k, "hot_left": left, "hot_right": right, "hot_times": n} for k, (left, right, n) in hot_rows.items()])
                 if len(contexts) >= RUN_ROWS:
-                    yield pd.DataFrame([{"kind": 1, **b} for b in _blocks(contexts, parts, match)])
+                    yield pd.DataFrame([{"kind": 1, **b} for b in _blocks(contexts, parts, gram)])
                     contexts = {}
         if contexts:
-            yield pd.DataFrame([{"kind": 1, **b} for b in _blocks(contexts, parts, match)])
+            yield pd.DataFrame([{"kind": 1, **b} for b in _blocks(contexts, parts, gram)])
 
-    schema = f"kind int, id long, th long, pos array<int>, cks array<binary>, ck binary, hot_left binary, hot_right binary, hot_times long, {RUN}"
+    schema = f"kind int, id long, th long, text string, pos array<int>, cks array<binary>, ck binary, hot_left binary, hot_right binary, hot_times long, {RUN}"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in cut(batches):
             yield x.reindex(columns=names).astype(object).where(x.reindex(columns=names).notna().to_numpy(), None)
 
-    cuts = staged(docs.join(lists, ["id", "th"]).mapInPandas(whole, schema), "suffixes")
+    cuts = staged(docs.join(lists, "id").mapInPandas(whole, schema), "suffixes")
     runs = cuts.where("kind = 1").select(*[x.split()[0] for x in RUN.split(", ")])
     offsets = runs.groupBy("part").applyInPandas(_merge(match, gram), "ck binary, least int, most int")
 
@@ -260,34 +266,39 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
     ranges = offsets.unionAll(hot_offsets).groupBy("ck").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     places = cuts.where("kind = 0").select("id", "th", F.explode(F.arrays_zip("pos", "cks")).alias("x")).select("id", "th", "x.pos", F.col("x.cks").alias("ck"))
     span = F.struct((F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") + match - F.col("least")).alias("hi"))
-    return places.join(ranges, "ck").groupBy("id", "th").agg(F.collect_set(span).alias("spans"))
+    spans = places.join(ranges, "ck").groupBy("id", "th").agg(F.collect_set(span).alias("spans"))
+    return cuts.where("kind = 0").select("id", "th", "text").join(spans, ["id", "th"]).dropDuplicates(["id", "th"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM, hot_gram: int = HOT_GRAM) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes; removes each byte covered by a match-byte string that also starts elsewhere.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross texts, and are judged on the input. Repeated rows are
-    documents of their own, so they are copies of each other. Texts shorter than match stay. kept_bytes may break inside
-    a character where a match does. An empty table gives an empty result.
+    documents of their own, so they are copies of each other. Texts shorter than match stay. kept_bytes is null where
+    nothing goes, and may break inside a character where a match does. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     keyed = rows.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), "text", "th")
-    spans = repeated_spans(keyed.where(F.octet_length("text") >= match), match, gram, hot_gram)
+    changed = repeated_spans(keyed.where(F.octet_length("text") >= match), match, gram, hot_gram)
 
     def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for row_id, text, spans in x[["id", "text", "spans"]].itertuples(index=False):
+            for row_id, th, text, spans in x[["id", "th", "text", "spans"]].itertuples(index=False):
                 data, kept, at, n = text.encode("utf-8", "surrogatepass"), [], 0, 0
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans) if spans is not None else ():
-                    if lo > at or (lo == at == 0 and not n):
+                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans):
+                    if lo > at or not n:
                         n += 1
                         kept.append(data[at:lo])
                     at = max(at, hi)
-                kept.append(data[at:])
-                left = b"".join(kept)
-                out.append((row_id, len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest(), left))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
-
-    made = keyed.join(spans, ["id", "th"], "left").mapInPandas(drop, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
-    return made.withColumn("id", F.nullif("id", F.lit(-(2**63)))).withColumnRenamed("id", id_col)
+                left = b"".join([*kept, data[at:]])
+                out.append((row_id, th, len(data) - len(left), n, hashlib.sha256(left).hexdigest(), left))
+            yield pd.DataFrame(out, columns=["id", "th", "n_removed", "n_spans", "sha", "kept_bytes"])
+
+    made = changed.mapInPandas(drop, "id long, th long, n_removed long, n_spans long, sha string, kept_bytes binary")
+    every = keyed.select("id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
+    none = F.lit(0).cast("long")
+    return every.join(made, ["id", "th"], "left").select(
+        F.nullif("id", F.lit(-(2**63))).alias(id_col), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"),
+        F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), "kept_bytes",
+    )
