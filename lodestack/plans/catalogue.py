@@ -2,5 +2,417 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestack.functions import score as S
+from lodestack.functions import text as T
+from lodestack.operators import chunking, graph, retrieval
+from lodestack.sources.adapters import chunks, events, occurrences, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Views that several oracles share.
+OCC = "occ AS (SELECT 'organization:' || l_suppkey AS entity, l_orderkey AS node, max((epoch_us(l_shipdate) // 1000)) AS ts_ms FROM lineitem GROUP BY 1, 2)"
+EDGES = f"{OCC}, edges AS (SELECT x.entity AS a, y.entity AS b, count(DISTINCT x.node) AS weight, max(greatest(x.ts_ms, y.ts_ms)) AS updated_ms FROM occ x JOIN occ y ON x.node = y.node AND x.entity < y.entity GROUP BY 1, 2)"
+CHUNKS = "chunks AS (SELECT doc_id, source || ':' || doc_id AS source_id, source AS scope, lang, text AS content, 1700000000000 + doc_id * 60000 AS timestamp_ms FROM documents)"
+WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+TERMS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> '')"
+
+
+@query(rf"""SELECT 'email:' || lower(e) AS entity_id, max(e) AS surface, count(*) AS mentions, max(1700000000000 + doc_id * 60000) AS last_ms
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{T.EMAIL}')) AS e FROM documents) WHERE lower(e) LIKE '%@%' GROUP BY 1 ORDER BY mentions DESC, entity_id LIMIT 100""")
+def entity_search(spark, sf):
+    """Entities by pattern, most mentions first."""
+    found = chunks(spark, sf).select("timestamp_ms", F.explode(F.regexp_extract_all("content", F.lit(f"({T.EMAIL})"), F.lit(1))).alias("e"))
+    ids = found.withColumn("entity_id", T.canonical_id(F.lit("email"), F.col("e"))).where(F.lower("e").contains("@"))
+    return ids.groupBy("entity_id").agg(F.max("e").alias("surface"), F.count("*").alias("mentions"), F.max("timestamp_ms").alias("last_ms")).orderBy(F.desc("mentions"), "entity_id").limit(100)
+
+
+@query(f"WITH {OCC} SELECT entity, node, ts_ms FROM occ WHERE entity = 'organization:7' AND ts_ms BETWEEN 800000000000 AND 900000000000 ORDER BY ts_ms DESC, node LIMIT 500")
+def entity_lookup_window(spark, sf):
+    """An entity's occurrences in a closed time window, newest first."""
+    o = occurrences(spark, sf).where((F.col("entity") == "organization:7") & F.col("ts_ms").between(800_000_000_000, 900_000_000_000))
+    return o.orderBy(F.desc("ts_ms"), "node").limit(500)
+
+
+@query(f"WITH {OCC} SELECT o.entity, count(DISTINCT o.node) AS weight FROM occ o WHERE o.entity <> 'organization:7' AND o.node IN (SELECT node FROM occ WHERE entity = 'organization:7') GROUP BY 1 ORDER BY weight DESC, entity LIMIT 50")
+def co_occurrence_topk(spark, sf):
+    return graph.co_occurring(occurrences(spark, sf), "organization:7", 50)
+
+
+@query(f"WITH {EDGES} SELECT a, b, weight, updated_ms FROM edges")
+def edges_distinct(spark, sf):
+    return graph.edges(occurrences(spark, sf))
+
+
+@query(f"WITH {EDGES} SELECT entity, neighbor, weight FROM (SELECT a AS entity, b AS neighbor, weight FROM edges UNION ALL SELECT b, a, weight FROM edges) WHERE entity = 'organization:7'")
+def edge_neighbors(spark, sf):
+    return graph.both_ways(graph.edges(occurrences(spark, sf))).where(F.col("entity") == "organization:7")
+
+
+@query(f"WITH {EDGES} SELECT weight, count(*) AS n_edges, string_agg(a || '-' || b, ',' ORDER BY a, b) AS members FROM edges GROUP BY weight")
+def weight_groups(spark, sf):
+    e = graph.edges(occurrences(spark, sf))
+    return e.groupBy("weight").agg(F.count("*").alias("n_edges"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", "b"))), lambda x: F.concat(x["a"], F.lit("-"), x["b"])), ",").alias("members"))
+
+
+_TARGETS = "targets AS (SELECT 'organization:' || s_suppkey AS entity FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation JOIN supplier ON s_nationkey = n_nationkey))"
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {_TARGETS},
+links AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edges),
+walk(s, n, d) AS (SELECT entity, entity, 0 FROM targets UNION SELECT s, y, d + 1 FROM walk JOIN links ON n = x WHERE d < 2)
+SELECT s AS a, n AS b, min(d)::INT AS distance FROM walk WHERE s < n AND n IN (SELECT entity FROM targets) GROUP BY 1, 2""")
+def bfs_pairs(spark, sf):
+    """Distances between the suppliers of a nation, at most two hops."""
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    named = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    first = named.agg(F.min("n_name").alias("n_name"))
+    targets = named.join(F.broadcast(first), "n_name").select(F.concat(F.lit("organization:"), F.col("s_suppkey")).alias("entity"))
+    return graph.bfs_pairs(graph.edges(occurrences(spark, sf)), targets, 2)
+
+
+@query(f"""WITH {OCC}, own AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts_ms DESC, node) AS r FROM occ WHERE entity IN ('organization:1', 'organization:2', 'organization:3', 'organization:4', 'organization:5'))
+SELECT node, count(DISTINCT entity) AS matched, max(ts_ms) AS latest_ms FROM own WHERE r <= 500 GROUP BY node HAVING count(DISTINCT entity) >= 2 ORDER BY matched DESC, latest_ms DESC, node LIMIT 100""")
+def fast_candidates(spark, sf):
+    asked = spark.createDataFrame([(f"organization:{k}",) for k in range(1, 6)], "entity string")
+    return graph.candidates(occurrences(spark, sf), F.broadcast(asked)).orderBy(F.desc("matched"), F.desc("latest_ms"), "node").limit(100)
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, source_id, timestamp_ms FROM chunks WHERE scope IN ('src1', 'src2') AND lang = 'en' ORDER BY timestamp_ms DESC, doc_id OFFSET 10 LIMIT 25")
+def chunks_list_page(spark, sf):
+    c = chunks(spark, sf).where(F.col("scope").isin("src1", "src2") & (F.col("lang") == "en"))
+    return c.select("doc_id", "source_id", "timestamp_ms").orderBy(F.desc("timestamp_ms"), "doc_id").offset(10).limit(25)
+
+
+@query(f"WITH {CHUNKS} SELECT split_part(source_id, ':', 1) AS provider, lang, count(*) AS n FROM chunks WHERE starts_with(source_id, 'src1') GROUP BY 1, 2")
+def scope_kind_filter(spark, sf):
+    c = chunks(spark, sf).where(F.col("source_id").startswith("src1"))
+    return c.groupBy(F.split_part("source_id", F.lit(":"), F.lit(1)).alias("provider"), "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, (epoch_us(o_orderdate) // 1000) AS version_ms FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_version(spark, sf):
+    """Newest order of each customer, as the newest version of a document."""
+    o = table(spark, sf, "orders").select("o_custkey", F.struct(F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("v"), F.col("o_orderkey").alias("k")).alias("x"))
+    return o.groupBy("o_custkey").agg(F.max("x").alias("x")).select("o_custkey", F.col("x.k").alias("o_orderkey"), F.col("x.v").alias("version_ms"))
+
+
+@query("WITH m AS (SELECT o_custkey, max(o_orderdate) AS newest FROM orders GROUP BY 1) SELECT o.o_orderkey, o.o_custkey FROM orders o JOIN m USING (o_custkey) WHERE o.o_orderdate < m.newest")
+def superseded(spark, sf):
+    """Orders that a newer one of the same customer supersedes."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    newest = o.groupBy("o_custkey").agg(F.max("o_orderdate").alias("newest"))
+    return o.join(newest, "o_custkey").where("o_orderdate < newest").select("o_orderkey", "o_custkey")
+
+
+_SESSIONS = "s AS (SELECT user_id, date_trunc('day', ts) AS day, (epoch_us(min(ts)) // 1000) AS start_ms, (epoch_us(max(ts)) // 1000) AS end_ms FROM events GROUP BY 1, 2)"
+_FROM, _TO = 1_704_500_000_000, 1_705_500_000_000
+
+
+def _sessions(spark, sf):
+    return events(spark, sf).groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.unix_millis(F.min("ts")).alias("start_ms"), F.unix_millis(F.max("ts")).alias("end_ms")).drop("day")
+
+
+@query(f"WITH {_SESSIONS} SELECT user_id, start_ms, end_ms FROM s WHERE start_ms >= {_FROM} AND end_ms <= {_TO}")
+def window_contained(spark, sf):
+    return _sessions(spark, sf).where((F.col("start_ms") >= _FROM) & (F.col("end_ms") <= _TO))
+
+
+@query(f"WITH {_SESSIONS} SELECT user_id, start_ms, end_ms FROM s WHERE end_ms >= {_FROM} AND start_ms <= {_TO}")
+def window_overlap(spark, sf):
+    return _sessions(spark, sf).where((F.col("end_ms") >= _FROM) & (F.col("start_ms") <= _TO))
+
+
+@query("""WITH h AS (SELECT strftime(ts, '%Y/%m/%d/%H') AS id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1)
+SELECT id, level::INT AS level, n::BIGINT AS n, round(total, 2) AS total FROM (
+SELECT id, 4 AS level, n, total FROM h UNION ALL SELECT id[1:10], 3, sum(n), sum(total) FROM h GROUP BY 1 UNION ALL SELECT id[1:7], 2, sum(n), sum(total) FROM h GROUP BY 1
+UNION ALL SELECT id[1:4], 1, sum(n), sum(total) FROM h GROUP BY 1 UNION ALL SELECT 'root', 0, sum(n), sum(total) FROM h)""")
+def time_tree_rollup(spark, sf):
+    """Hour, day, month, year and root nodes; each level is summed from the one below."""
+    h = events(spark, sf).groupBy(F.date_format("ts", "yyyy/MM/dd/HH").alias("id")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    # one pass: every hour adds to its five ancestors, partial sums are combined before the shuffle
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), (F.substring("id", 1, size) if size else F.lit("root")).alias("id")) for k, size in ((4, 13), (3, 10), (2, 7), (1, 4), (0, 0))])
+    return h.select(F.explode(levels).alias("x"), "n", "total").groupBy("x.id", "x.level").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
+
+
+@query("""WITH c AS (SELECT event_type AS provider, (epoch_us(ts) // 1000) AS created, value > 20 AS resolved FROM events),
+w AS (SELECT provider, max(created) AS newest FROM c GROUP BY 1),
+a AS (SELECT c.provider, min(c.created) AS anchor, count(*) FILTER (NOT resolved) AS open FROM c JOIN w USING (provider) WHERE created >= newest - 600000 GROUP BY 1)
+SELECT c.provider, count(*) AS total, count(*) FILTER (NOT resolved) AS pending, max(created) AS newest_ms,
+  count(*) FILTER (a.open > 0 AND created >= anchor) AS batch_total, count(*) FILTER (a.open > 0 AND created >= anchor AND resolved) AS batch_done
+FROM c JOIN a USING (provider) GROUP BY 1""")
+def sync_status(spark, sf):
+    """Per provider: totals, and the progress of the wave of the last ten minutes."""
+    c = events(spark, sf).select(F.col("event_type").alias("provider"), F.unix_millis("ts").alias("created"), (F.col("value") > 20).alias("resolved"))
+    newest = c.groupBy("provider").agg(F.max("created").alias("newest"))
+    wave = c.join(newest, "provider").where(F.col("created") >= F.col("newest") - 600_000).groupBy("provider").agg(F.min("created").alias("anchor"), F.count_if(~F.col("resolved")).alias("open"))
+    inside = (F.col("open") > 0) & (F.col("created") >= F.col("anchor"))
+    return c.join(wave, "provider").groupBy("provider").agg(
+        F.count("*").alias("total"), F.count_if(~F.col("resolved")).alias("pending"), F.max("created").alias("newest_ms"),
+        F.count_if(inside).alias("batch_total"), F.count_if(inside & F.col("resolved")).alias("batch_done"),
+    )
+
+
+@query("SELECT source, count(*) AS n, count(l.doc_id) AS covered, round(count(l.doc_id) / count(*), 6) AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
+def coverage_ratio(spark, sf):
+    done = table(spark, sf, "labels").select("doc_id").distinct().withColumn("hit", F.lit(1))
+    d = table(spark, sf, "documents").select("doc_id", "source").join(done, "doc_id", "left")
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.count("*"), 6).alias("ratio"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
+def reembed_pending(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return d.join(table(spark, sf, "labels"), "doc_id", "left_anti").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def except_paths(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").exceptAll(table(spark, sf, "labels").select("doc_id")).distinct()
+
+
+@query("""WITH old AS (SELECT doc_id AS item, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), new AS (SELECT doc_id AS item, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
+SELECT coalesce(o.item, n.item) AS item, CASE WHEN o.item IS NULL THEN 'added' WHEN n.item IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'modified' ELSE 'unchanged' END AS change FROM old o FULL JOIN new n ON o.item = n.item""")
+def snapshot_diff(spark, sf):
+    """Changes between two made-up snapshots of documents: one lacks some items, the other lacks others and edits some."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    old = d.where("item % 7 <> 0")
+    new = d.where("item % 11 <> 0").withColumn("text", F.when(F.col("item") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return retrieval.diff(old, new, "item", "text")
+
+
+@query("SELECT scope AS namespace, count(*) AS n, max(timestamp_ms) AS updated_ms FROM (SELECT source AS scope, 1700000000000 + doc_id * 60000 AS timestamp_ms FROM documents) GROUP BY 1")
+def namespace_summaries(spark, sf):
+    return chunks(spark, sf).groupBy(F.col("scope").alias("namespace")).agg(F.count("*").alias("n"), F.max("timestamp_ms").alias("updated_ms"))
+
+
+@query("""SELECT l_suppkey AS s, l_returnflag AS p, l_linestatus AS o, max(round(1 - l_discount, 2)) AS confidence, min(l_linenumber) AS first_order, count(DISTINCT l_orderkey) AS n_chunks
+FROM lineitem GROUP BY 1, 2, 3 HAVING max(1 - l_discount) >= 0.45""")
+def relation_aggregate(spark, sf):
+    """Triples with their best confidence, first place and number of chunks."""
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("p"), F.col("l_linestatus").alias("o"), (1 - F.col("l_discount")).alias("c"), "l_linenumber", "l_orderkey")
+    return li.groupBy("s", "p", "o").agg(F.max(F.round("c", 2)).alias("confidence"), F.max("c").alias("c"), F.min("l_linenumber").alias("first_order"), F.countDistinct("l_orderkey").alias("n_chunks")).where("c >= 0.45").drop("c")
+
+
+_ASKED = "the edition of thing"
+
+
+@query(f"WITH q AS (SELECT list_distinct({WORDS.format(repr(_ASKED))}) AS q) SELECT doc_id, round(len(list_intersect(q, {WORDS.format('text')})) / len(q), 6) AS relevance FROM documents, q")
+def keyword_relevance(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(S.keyword_relevance(F.lit(_ASKED), F.col("text")), 6).alias("relevance"))
+
+
+@query("SELECT conv_id, turn, round(m / 3, 6) AS score FROM (SELECT conv_id, turn, contains(lower(text), 'the')::INT + contains(lower(text), 'ing')::INT + contains(lower(text), 'zu')::INT AS m FROM conversations) WHERE m > 0 ORDER BY score DESC, conv_id, turn LIMIT 20")
+def lexical_recall(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.round(S.lexical_score("the ing zu", F.col("text")), 6).alias("score"))
+    return c.where("score is not null").orderBy(F.desc("score"), "conv_id", "turn").limit(20)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), n AS (SELECT count(*) AS n, greatest(avg(len(w)), 1) AS avg_len FROM d),
+tf AS (SELECT doc_id, t.term, len(list_filter(w, lambda x: x = t.term)) AS tf, len(w) AS len FROM d, (SELECT unnest(['reen', 'the', 'thing']) AS term) t), df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY 1)
+SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score
+FROM tf JOIN df USING (term), n WHERE tf > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""")
+def bm25_topk(spark, sf):
+    return retrieval.bm25(table(spark, sf, "documents"), ["reen", "the", "thing"]).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query("SELECT event_id, round(CASE WHEN ts >= TIMESTAMP '2024-01-31' THEN 1 ELSE pow(0.5, ((epoch_us(TIMESTAMP '2024-01-31') // 1000) - (epoch_us(ts) // 1000)) / 86400000.0 / 7) END, 6) AS freshness FROM events")
+def freshness_decay(spark, sf):
+    age = (F.lit(1_706_659_200_000) - F.unix_millis("ts")) / 86_400_000.0
+    return events(spark, sf).select("event_id", F.round(S.freshness(age), 6).alias("freshness"))
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT vec_id, round(0.35 * (label = 3)::INT + 0.35 * greatest(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 0) + 0.15 * pow(0.5, vec_id / 100.0 / 7), 5) AS score FROM embeddings, q""")
+def hybrid_score(spark, sf):
+    """Graph (label match), vector and freshness parts under the balanced profile."""
+    e = table(spark, sf, "embeddings")
+    asked = e.groupBy().agg(F.min_by("embedding", "vec_id").alias("q"))
+    graph_part, fresh = (F.col("label") == 3).cast("int"), F.pow(F.lit(0.5), F.col("vec_id") / 100.0 / 7)
+    return e.join(F.broadcast(asked)).select("vec_id", F.round(S.hybrid(graph_part, F.greatest(S.cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), F.lit(0.0), fresh), 5).alias("score"))
+
+
+_SIGNALS = rf"""d AS (SELECT doc_id, text, (length(text) + 3) // 4 AS tok,
+  list_filter(list_transform({TERMS.format('text')}, lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: w <> '') AS w,
+  list_distinct(list_transform(list_concat(regexp_extract_all(text, '{T.EMAIL}'), regexp_extract_all(text, '{T.URL}')), lambda e: lower(e))) AS ents FROM documents),
+s AS (SELECT doc_id, tok, len(ents) AS n_entities,
+  CASE WHEN tok < 10 THEN 0 WHEN tok < 30 THEN (tok - 10) / 20.0 WHEN tok <= 3000 THEN 1 WHEN tok < 8000 THEN 1 - 0.5 * (tok - 3000) / 5000.0 ELSE 0.5 END AS s_tokens,
+  CASE WHEN len(w) < 5 THEN 0.5 ELSE greatest(0, least(1, (len(list_distinct(w)) / len(w) - 0.3) / 0.4)) END AS s_unique,
+  CASE WHEN tok = 0 THEN 0 ELSE least(1, len(ents) / tok / 0.01) END AS s_entities FROM d),
+a AS (SELECT *, greatest(0, least(1, (s_tokens + s_unique + 1.5 * 0.9 + 1.5 * 0.9 + s_entities) / 9)) AS total FROM s)"""
+
+
+def _signals(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", T.chars_tokens(F.col("text")).alias("tok"), F.size(S.entities(F.col("text"))).alias("n_entities"))
+    found = S.signals(F.col("text"), F.lit("document"), F.lit(0.0))
+    return d.select("doc_id", "tok", "n_entities", *[v.alias(f"s_{k}") for k, v in found.items() if k in ("tokens", "unique", "entities")], S.admission(found).alias("total"))
+
+
+@query(f"WITH {_SIGNALS} SELECT doc_id, round(s_tokens, 6) AS s_tokens, round(s_unique, 6) AS s_unique, round(s_entities, 6) AS s_entities, round(total, 6) AS total FROM a")
+def signals(spark, sf):
+    return _signals(spark, sf).select("doc_id", *[F.round(c, 6).alias(c) for c in ("s_tokens", "s_unique", "s_entities", "total")])
+
+
+@query(f"WITH {_SIGNALS} SELECT doc_id, round(total, 6) AS total, (tok < 10 AND n_entities = 0) OR total < 0.3 AS dropped, CASE WHEN tok < 10 AND n_entities = 0 THEN 'tiny' WHEN total < 0.3 THEN 'below threshold' END AS reason FROM a")
+def admission(spark, sf):
+    tiny, low = (F.col("tok") < 10) & (F.col("n_entities") == 0), F.col("total") < S.THRESHOLD
+    return _signals(spark, sf).select("doc_id", F.round("total", 6).alias("total"), (tiny | low).alias("dropped"), F.when(tiny, "tiny").when(low, "below threshold").alias("reason"))
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT max(vec_id) FROM embeddings))
+SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 25""")
+def knn_cosine(spark, sf):
+    """Exact nearest neighbours of the newest vector."""
+    e = table(spark, sf, "embeddings")
+    asked = e.groupBy().agg(F.max_by("embedding", "vec_id").alias("q"))
+    return e.join(F.broadcast(asked)).select("vec_id", "label", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(25)
+
+
+@query("""WITH q AS (SELECT label, embedding AS q FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)
+SELECT e.label, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity,
+  row_number() OVER (PARTITION BY e.label ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) DESC, vec_id)::INT AS rank FROM embeddings e JOIN q ON e.label = q.label QUALIFY rank <= 10""")
+def semantic_rerank(spark, sf):
+    """Each label's vectors by similarity with its first one, best ten."""
+    e = table(spark, sf, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    scored = e.join(first, "label").select("label", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id"))).where("rank <= 10")
+
+
+@query()
+def mmr(spark, sf):
+    """Ten vectors a label by maximal marginal relevance among its fifty most relevant."""
+    return retrieval.mmr(table(spark, sf, "embeddings"), 50, 10, 0.7)
+
+
+@query(r"""SELECT doc_id, (length(text) + 3) // 4 AS by_chars, (strlen(text) + 3) // 4 AS by_bytes,
+  (2 * length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) + length(regexp_replace(text, '[^ \t\n\r\f\v]', '', 'g')) + 4 * length(regexp_replace(text, '[A-Za-z0-9 \t\n\r\f\v]', '', 'g')) + 3) // 4 AS conservative FROM documents""")
+def token_estimates(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", T.chars_tokens(t).alias("by_chars"), T.bytes_tokens(t).alias("by_bytes"), T.conservative_tokens(t).alias("conservative"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '_+', '_', 'g'), '[^a-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g')[1:120] AS slug, 'url:' || trim(url) AS entity_id,
+  sha256(encode('document') || '\x00'::BLOB || encode(url) || '\x00'::BLOB || unhex(printf('%08X', page_id)) || '\x00'::BLOB || encode(html))[1:32] AS chunk_id FROM pages""")
+def slug_and_ids(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", T.slug(F.col("url")).alias("slug"), T.canonical_id(F.lit("url"), F.col("url")).alias("entity_id"), T.chunk_id(F.lit("document"), F.col("url"), F.col("page_id"), F.col("html")).alias("chunk_id"))
+
+
+@query()
+def chunk_documents(spark, sf):
+    return chunking.chunk_documents(table(spark, sf, "documents"), tokens=1000)
+
+
+_RENDERED = "r AS (SELECT conv_id, '# Chat transcript' || chr(10) || string_agg('## ' || role || chr(10) || text || chr(10), '' ORDER BY turn) AS md FROM conversations GROUP BY 1)"
+
+
+@query(f"WITH {_RENDERED} SELECT conv_id, len(p)::INT - 1 AS n_chunks, sum(0) AS dropped FROM (SELECT conv_id, string_split(md, chr(10) || '## ') AS p FROM r) GROUP BY ALL")
+def chunk_chat(spark, sf):
+    """Chats rendered as text and split again at their headings."""
+    c = table(spark, sf, "conversations")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    md = c.groupBy("conv_id").agg(F.concat(F.lit("# Chat transcript\n"), F.array_join(F.transform(turns, lambda t: F.concat(F.lit("## "), t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).alias("md"))
+    return md.select("conv_id", F.size(chunking.chat_turns(F.col("md"))).alias("n_chunks"), F.lit(0).cast("long").alias("dropped"))
+
+
+@query("SELECT conv_id, turn, round(1.0, 6) AS score FROM conversations WHERE contains(lower(text), 'tion') AND contains(lower(text), 'wher')")
+def ngram_search(spark, sf):
+    """Postings of the terms' trigrams are intersected; what is left is verified on the text."""
+    return retrieval.ngram_search(table(spark, sf, "conversations"), ["tion", "wher"])
+
+
+@query("SELECT doc_id, " + "".join("regexp_replace(" for _ in T.SECRETS) + "text" + "".join(f", '{p}', '[{k}]', 'g')" for k, p in T.SECRETS.items()) + " AS clean FROM documents")
+def secret_redact(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.redacted(F.col("text")).alias("clean"))
+
+
+@query()
+def pii_cards(spark, sf):
+    """Digit runs of card length with a right check digit."""
+    runs = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([0-9]{13,19})\b"), F.lit(1))).alias("card"))
+    return runs.where(F.expr("luhn_check(card)")).groupBy("doc_id").agg(F.count("*").alias("n_cards"))
+
+
+@query("""SELECT event_id, (epoch_us(ts) // 1000) AS at_ms, CASE WHEN (epoch_us(ts) // 1000) % 1000000 <= 30000 THEN 'active' WHEN (epoch_us(ts) // 1000) % 1000000 <= 300000 THEN 'recent' ELSE 'idle' END AS age,
+  least(60000 * pow(2, least(event_id % 30, 20)), 3600000)::BIGINT AS wait_ms FROM events""")
+def flexible_times(spark, sf):
+    """Millisecond texts parsed, ages labelled, retries delayed."""
+    e = events(spark, sf).select("event_id", F.unix_millis("ts").alias("ms"))
+    at = T.flexible_time(F.col("ms").cast("string"), F.current_timestamp())
+    return e.select("event_id", F.unix_millis(at).alias("at_ms"), T.age_label(F.col("ms") % 1_000_000 / 1000).alias("age"), T.backoff(F.col("event_id") % 30 + 1).alias("wait_ms"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k_total, count(*) FILTER (json_extract(props, '$.missing') IS NULL) AS missing FROM events GROUP BY 1")
+def json_props(spark, sf):
+    e = events(spark, sf)
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_total"), F.count_if(F.get_json_object("props", "$.missing").isNull()).alias("missing"))
+
+
+@query("""WITH b AS (SELECT source, doc_id, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS bucket FROM documents)
+SELECT source, bucket, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n_children, sum((length(text) + 3) // 4)::BIGINT AS tokens, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS content_sha256 FROM b GROUP BY 1, 2""")
+def seal_rollup(spark, sf):
+    """Every ten documents of a source sealed into one summary node."""
+    return retrieval.sealed(table(spark, sf, "documents"), 10)
+
+
+@query("""SELECT conv_id AS thread_id, count(*) AS n_messages, max(turn) AS last_turn, arg_max(role, turn) AS last_role, sha256(arg_max(text, turn)) AS last_sha256 FROM conversations GROUP BY 1""")
+def thread_fold(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.groupBy(F.col("conv_id").alias("thread_id")).agg(F.count("*").alias("n_messages"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), F.sha2(F.max_by("text", "turn").cast("binary"), 256).alias("last_sha256"))
+
+
+@query("""WITH r AS (SELECT d.source, l.quality AS rel, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS k FROM documents d JOIN labels l USING (doc_id)),
+m AS (SELECT source, sum(rel) FILTER (k <= 10) AS hits, sum(rel) AS total, min(k) FILTER (rel = 1) AS first, sum(rel / log2(k + 1)) FILTER (k <= 10) AS dcg FROM r GROUP BY 1)
+SELECT source, round(hits / 10, 6) AS precision_at_10, round(hits / total, 6) AS recall_at_10, round(1 / first, 6) AS rr,
+  round(dcg / list_sum(list_transform(range(1, least(total, 10)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_at_10 FROM m WHERE total > 0""")
+def quality_metrics(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    ranked = d.select("source", F.col("quality").alias("rel"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("k"))
+    return retrieval.ranking_metrics(ranked, "source", 10)
+
+
+@query("""WITH r AS (SELECT p_partkey, p_brand, p_size, p_size >= 48 AS critical, row_number() OVER (ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS k FROM part)
+SELECT p_partkey, critical, k::BIGINT AS k FROM r WHERE k <= greatest(30, (SELECT count(*) FROM r WHERE critical))""")
+def rank_rules_cap(spark, sf):
+    """Rules by priority; the cap of thirty never cuts critical ones."""
+    return retrieval.capped_rules(table(spark, sf, "part"), 30)
+
+
+@query("SELECT sha256(text) AS content_sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def dedup_gate(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+@query("""WITH old AS (SELECT user_id, max(ts) AS ts FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), new AS (SELECT user_id, max(ts) AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
+SELECT coalesce(n.user_id, o.user_id) AS key, (epoch_us(coalesce(n.ts, o.ts)) // 1000) AS updated_ms, n.ts IS NOT NULL AS rewritten FROM old o FULL JOIN new n ON o.user_id = n.user_id""")
+def kv_upsert(spark, sf):
+    """A key-value table of last visits, updated by later ones."""
+    e = events(spark, sf)
+    last = lambda x: x.groupBy(F.col("user_id").alias("key")).agg(F.unix_millis(F.max("ts")).alias("updated_ms"))
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    return retrieval.upsert(last(e.where(early)), last(e.where(~early)), "key")
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def buffer_stream(spark, sf):
+    """Hourly counts by a streaming query over the event files, run to its end."""
+    from lodestack.streaming.buffers import hourly_counts
+
+    return hourly_counts(spark, sf)
