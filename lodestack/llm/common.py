@@ -18,10 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage, and survives lost executors."""
+    """df, written as Parquet to the shared folder and read again: cuts the lineage, and survives lost executors.
+
+    The shuffles that made it are of no more use; a collection in the driver's JVM lets Spark's cleaner delete their files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
