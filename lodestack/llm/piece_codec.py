@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 800_000  # units that are remembered between batches
+CACHE = 400_000  # units that are remembered between batches
 BATCH_CHARS = 2_000_000  # characters of units that are indexed at once
 DOCS = 1_000
 

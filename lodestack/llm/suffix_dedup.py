@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ PIECE = 1 << 20  # bytes of a text that are hashed at once
 RUN_ROWS = 40_000  # suffixes of a sorted run
 PART_ROWS = 40_000  # suffixes that one merge gets
 HOT_GRAM = 40_000  # a gram that occurs more often is counted by windows
+PACK, UNPACK = zstandard.compress, zstandard.decompress  # texts and runs travel packed
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, np.uint64, endpoint=False)
 
 
@@ -162,8 +164,8 @@ def _blocks(contexts: dict[bytes, list], parts: int, gram: int) -> Iterator[dict
         rows.sort()
         known, rest, sizes = front_code([x[0] for x in rows])
         yield {
-            "part": part, "known": np.array(known, "<i2").tobytes(), "rest": rest, "sizes": np.array(sizes, "<i2").tobytes(),
-            "left": b"".join(x[1] for x in rows), "left_sizes": np.array([len(x[1]) for x in rows], "<i2").tobytes(),
+            "part": part, "known": np.array(known, "<i2").tobytes(), "rest": PACK(rest), "sizes": np.array(sizes, "<i2").tobytes(),
+            "left": PACK(b"".join(x[1] for x in rows)), "left_sizes": np.array([len(x[1]) for x in rows], "<i2").tobytes(),
             "times": np.array([x[2] for x in rows], "<i8").tobytes(), "keys": b"".join(x[3] for x in rows),
         }
 
@@ -174,14 +176,15 @@ RUN = "part int, known binary, rest binary, sizes binary, left binary, left_size
 def _merge(match: int, gram: int):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         ints = lambda x, kind: np.frombuffer(x, kind).tolist()
-        runs = [(ints(x.known, "<i2"), x.rest, ints(x.sizes, "<i2")) for x in pdf.itertuples()]
+        runs = [(ints(x.known, "<i2"), UNPACK(x.rest), ints(x.sizes, "<i2")) for x in pdf.itertuples()]
         first = np.cumsum([0, *(len(r[0]) for r in runs)])
         merged = np.array(list(LoserTree(runs)), np.int64).reshape(-1, 3)
         place = first[merged[:, 0]] + merged[:, 1]
         lefts = []
         for x in pdf.itertuples():
             ends = np.cumsum(np.frombuffer(x.left_sizes, "<i2"), dtype=np.int64)
-            lefts += [x.left[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            left = UNPACK(x.left)
+            lefts += [left[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         right = np.concatenate([np.add(k, s) for k, _, s in runs])[place]
         times = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["times"]])[place]
         keys = [x[i : i + 16] for x in pdf["keys"] for i in range(0, len(x), 16)]
@@ -193,7 +196,7 @@ def _merge(match: int, gram: int):
 
 
 def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gram: int = HOT_GRAM) -> DataFrame:
-    """(id, th, text, spans array of (lo, hi)) of texts with repeated bytes; docs: id, text not null, th.
+    """(id, th, packed text, spans array of (lo, hi)) of texts with repeated bytes; docs: id, text not null, th.
 
     Places are kept by id alone; a place that belongs to another text with the same id only adds a suffix to sort.
     """
@@ -229,7 +232,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
                         keys.append(key)
                         (hot_rows if place["hot"] else contexts).setdefault(key, [left, right, 0])[2] += 1
                         kept.append(pos)
-                    rows.append({"kind": 0, "id": row_id, "th": th, "text": text, "pos": kept, "cks": keys})
+                    rows.append({"kind": 0, "id": row_id, "th": th, "packed": PACK(data), "pos": kept, "cks": keys})
                 yield pd.DataFrame(rows)
                 if hot_rows:
                     yield pd.DataFrame([{"kind": 2, "ck": k, "hot_left": left, "hot_right": right, "hot_times": n} for k, (left, right, n) in hot_rows.items()])
@@ -239,7 +242,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
         if contexts:
             yield pd.DataFrame([{"kind": 1, **b} for b in _blocks(contexts, parts, gram)])
 
-    schema = f"kind int, id long, th long, text string, pos array<int>, cks array<binary>, ck binary, hot_left binary, hot_right binary, hot_times long, {RUN}"
+    schema = f"kind int, id long, th long, packed binary, pos array<int>, cks array<binary>, ck binary, hot_left binary, hot_right binary, hot_times long, {RUN}"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,7 +270,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
     places = cuts.where("kind = 0").select("id", "th", F.explode(F.arrays_zip("pos", "cks")).alias("x")).select("id", "th", "x.pos", F.col("x.cks").alias("ck"))
     span = F.struct((F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") + match - F.col("least")).alias("hi"))
     spans = places.join(ranges, "ck").groupBy("id", "th").agg(F.collect_set(span).alias("spans"))
-    return cuts.where("kind = 0").select("id", "th", "text").join(spans, ["id", "th"]).dropDuplicates(["id", "th"])
+    return cuts.where("kind = 0").select("id", "th", "packed").join(spans, ["id", "th"]).dropDuplicates(["id", "th"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM, hot_gram: int = HOT_GRAM) -> DataFrame:
@@ -284,8 +287,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for row_id, th, text, spans in x[["id", "th", "text", "spans"]].itertuples(index=False):
-                data, kept, at, n = text.encode("utf-8", "surrogatepass"), [], 0, 0
+            for row_id, th, packed, spans in x[["id", "th", "packed", "spans"]].itertuples(index=False):
+                data, kept, at, n = UNPACK(packed), [], 0, 0
                 for lo, hi in sorted((s["lo"], s["hi"]) for s in spans):
                     if lo > at or not n:
                         n += 1
