@@ -216,13 +216,17 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
     total = lists.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = int(total // PART_ROWS) + 1
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"id": x["id"], "th": x["th"], "packed": [PACK(t.encode("utf-8", "surrogatepass")) for t in x["text"]]})
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         contexts: dict[bytes, list] = {}
         for x in batches:
             for i in range(0, len(x), 200):
                 rows, hot_rows = [], {}
-                for row_id, th, text, places in x.iloc[i : i + 200][["id", "th", "text", "places"]].itertuples(index=False):
-                    data = text.encode("utf-8", "surrogatepass")
+                for row_id, th, packed, places in x.iloc[i : i + 200][["id", "th", "packed", "places"]].itertuples(index=False):
+                    data = UNPACK(packed)
                     keys, kept = [], []
                     for place in places:
                         if (pos := place["pos"]) + gram > len(data):
@@ -232,7 +236,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
                         keys.append(key)
                         (hot_rows if place["hot"] else contexts).setdefault(key, [left, right, 0])[2] += 1
                         kept.append(pos)
-                    rows.append({"kind": 0, "id": row_id, "th": th, "packed": PACK(data), "pos": kept, "cks": keys})
+                    rows.append({"kind": 0, "id": row_id, "th": th, "packed": packed, "pos": kept, "cks": keys})
                 yield pd.DataFrame(rows)
                 if hot_rows:
                     yield pd.DataFrame([{"kind": 2, "ck": k, "hot_left": left, "hot_right": right, "hot_times": n} for k, (left, right, n) in hot_rows.items()])
@@ -249,7 +253,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot_gr
         for x in cut(batches):
             yield x.reindex(columns=names).astype(object).where(x.reindex(columns=names).notna().to_numpy(), None)
 
-    cuts = staged(docs.join(lists, "id").mapInPandas(whole, schema), "suffixes")
+    cuts = staged(docs.mapInPandas(pack, "id long, th long, packed binary").join(lists, "id").mapInPandas(whole, schema), "suffixes")
     runs = cuts.where("kind = 1").select(*[x.split()[0] for x in RUN.split(", ")])
     offsets = runs.groupBy("part").applyInPandas(_merge(match, gram), "ck binary, least int, most int")
 
