@@ -141,8 +141,7 @@ class PieceModel:
         cut = [self.unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = list({u for us in cut for u in us if u not in self.known})
         if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({u for us in cut for u in us})
+            self.known = {u: self.known[u] for us in cut for u in us if u in self.known}  # the common ones are in every batch
         at = 0
         while at < len(new):
             held, to = 0, at
