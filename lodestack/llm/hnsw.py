@@ -2,9 +2,9 @@
 
 A label's vectors are dealt by id to shards of bounded size; each shard becomes one graph, and each shard's vectors are
 one block of queries. Every block queries every shard of its label. A search walks the graph for all queries of a block
-in step, so each step is a few array operations. A beam that ends with nothing but links in it is widened; then an audit
-compares a sample of the block with a full scan of the shard, and widens all beams until its recall passes, in the end
-to a scan. Candidates are verified in double precision. A task returns counts and a spanning forest, never all pairs.
+in step, so each step is a few array operations. A beam that ends with nothing but links in it is widened. An audit scans
+the shard for a sample of the block that holds a stated number of links, and widens all beams until their recall passes,
+in the end to a scan; a block with fewer links is scanned. Candidates are verified in double precision. A task returns counts and a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ SHARD_ROWS = 4_096
 DEGREE = 16
 BUILD_BEAM = 48
 FIRST_BEAM = 32
-AUDIT_QUERIES = 64
+AUDIT_QUERIES = 64  # scanned at a time
+AUDIT_LINKS = 1_000  # true links that an audit has to meet, so that one in a thousand shows
 AUDIT_RECALL = 0.999
 SCAN_FROM = 16
 SLACK = 1e-4  # single precision may be off by less
@@ -147,46 +148,64 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
-def range_search(index: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query rows, index rows, audited recall) of all found pairs with a cosine of least or more; both inputs are unit vectors in double precision."""
-    low, q32 = index.astype(np.float32), queries.astype(np.float32)
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT_QUERIES, len(queries))).astype(int))
-    truth = queries[audit] @ index.T >= least
-    beam = FIRST_BEAM
-    while True:
-        rows: list[np.ndarray] = []
-        cols: list[np.ndarray] = []
-        todo, wide = np.arange(len(queries)), min(beam, len(index))
-        while len(todo):
-            again = []
-            step = max(16, 8_000_000 // (len(index) + wide * 16))
-            for i in range(0, len(todo), step):
-                part = todo[i : i + step]
-                if wide * SCAN_FROM >= len(index):  # a walk with so wide a beam meets most of the shard
-                    full = q32[part] @ low.T >= least - SLACK
-                    r, c = np.nonzero(full)
-                    rows.append(part[r])
-                    cols.append(c)
-                    continue
-                ids, sims = _search(low, levels[-1], q32[part], _descend(low, levels[:-1], q32[part], len(index)), wide)
-                narrow = sims[:, -1] >= least - SLACK
-                again.append(part[narrow])
-                r, c = np.nonzero((sims >= least - SLACK) & (ids >= 0) & ~narrow[:, None])
+def _verified(index: np.ndarray, queries: np.ndarray, r: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs with a cosine of least or more in double precision."""
+    good = np.concatenate([np.einsum("id,id->i", queries[r[i : i + 65_536]], index[c[i : i + 65_536]]) for i in range(0, len(r), 65_536)] or [np.zeros(0)]) >= least
+    return r[good], c[good]
+
+
+def _walk(low: np.ndarray, levels: list[np.ndarray], q32: np.ndarray, todo: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, index rows) of the pairs that a search with this beam meets, single precision; a beam that holds nothing but links is widened."""
+    rows: list[np.ndarray] = [np.zeros(0, int)]
+    cols: list[np.ndarray] = [np.zeros(0, int)]
+    wide = min(beam, len(low))
+    while len(todo):
+        again = []
+        step = max(16, 8_000_000 // (len(low) + wide * 16))
+        for i in range(0, len(todo), step):
+            part = todo[i : i + step]
+            if wide * SCAN_FROM >= len(low):  # a walk with so wide a beam meets most of the shard
+                r, c = np.nonzero(q32[part] @ low.T >= least - SLACK)
                 rows.append(part[r])
-                cols.append(ids[r, c])
-            todo = np.concatenate(again) if again else np.zeros(0, int)
-            wide = min(2 * wide, len(index))
-        r, c = np.concatenate(rows), np.concatenate(cols)
-        good = np.concatenate([np.einsum("id,id->i", queries[r[i : i + 65_536]], index[c[i : i + 65_536]]) for i in range(0, len(r), 65_536)] or [np.zeros(0)]) >= least
-        r, c = r[good], c[good]
-        hit = np.zeros(truth.shape, bool)
-        where = np.full(len(queries), -1)
-        where[audit] = np.arange(len(audit))
-        hit[where[r[where[r] >= 0]], c[where[r] >= 0]] = True
-        recall = (hit & truth).sum() / truth.sum() if truth.any() else 1.0
-        if recall >= AUDIT_RECALL or beam * SCAN_FROM >= len(index):
-            return r, c, float(recall)
-        beam *= 2
+                cols.append(c)
+                continue
+            ids, sims = _search(low, levels[-1], q32[part], _descend(low, levels[:-1], q32[part], len(low)), wide)
+            narrow = sims[:, -1] >= least - SLACK
+            again.append(part[narrow])
+            r, c = np.nonzero((sims >= least - SLACK) & (ids >= 0) & ~narrow[:, None])
+            rows.append(part[r])
+            cols.append(ids[r, c])
+        todo = np.concatenate(again) if again else np.zeros(0, int)
+        wide = min(2 * wide, len(low))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def range_search(index: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, least: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """(query rows, index rows, audited recall) of all found pairs with a cosine of least or more; both inputs are unit vectors in double precision.
+
+    Queries are scanned in random order until AUDIT_LINKS true links are met, a query's link with itself (same: both inputs
+    are one) not counted. A walk has to find AUDIT_RECALL of them again before it is trusted with the rest. Where links are
+    too few for that every query is scanned.
+    """
+    low, q32 = index.astype(np.float32), queries.astype(np.float32)
+    own = lambda r, c: int((r == c).sum()) if same else 0
+    order = np.random.default_rng(7).permutation(len(queries))
+    known, links, at = [], 0, 0
+    while at < len(order) and links < AUDIT_LINKS:
+        r, c = _verified(index, queries, *_walk(low, levels, q32, order[at : at + AUDIT_QUERIES], len(low), least), least)
+        known.append((r, c))
+        links += len(r) - own(r, c)
+        at += AUDIT_QUERIES
+    recall, beam = 1.0, FIRST_BEAM
+    if len(rest := order[at:]):
+        while True:
+            r, c = _verified(index, queries, *_walk(low, levels, q32, order[:at], beam, least), least)
+            recall = (len(r) - own(r, c)) / links
+            if recall >= AUDIT_RECALL or beam * SCAN_FROM >= len(index):
+                break
+            beam *= 2
+        known.append(_verified(index, queries, *_walk(low, levels, q32, rest, beam, least), least))
+    return np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known]), recall
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
@@ -228,7 +247,7 @@ def _ask(least: float):
             while len(sizes) < len(x["graph"]):
                 sizes.append(max(1, sizes[-1] // DEGREE))
             levels = [np.frombuffer(g, "<i4").reshape(s, -1).astype(np.int64) for g, s in zip(x["graph"], sizes[::-1], strict=True)]
-            r, c, recall = range_search(v, levels, q, least)
+            r, c, recall = range_search(v, levels, q, least, x["shard"] == x["block"])
             r, c = r[keep := q_ids[r] != ids[c]], c[keep]
             count = np.bincount(r, weights=n[c], minlength=len(q_ids)).astype(np.int64)
             roots = _forest(q_ids[r], ids[c])

@@ -12,7 +12,7 @@ from lodestack.llm.chat import format_trees, parse, paths
 from lodestack.llm.common import vocabulary
 from lodestack.llm.components import components
 from lodestack.llm.decontam import leaks
-from lodestack.llm.hnsw import embedding_groups, unit
+from lodestack.llm.hnsw import build, embedding_groups, range_search, unit
 from lodestack.llm.html_text import main_text
 from lodestack.llm.piece_codec import PieceModel, encode_pieces
 from lodestack.llm.quality import quality_scores
@@ -46,6 +46,27 @@ def test_hnsw_against_brute_force(spark):
     assert got == {i: int(near[i].sum()) - 1 for i in range(len(v))} | {900: 0, 901: 0, 902: 0, 903: 0}
 
 
+def test_hnsw_walk_finds_sparse_links():
+    rng = np.random.default_rng(1)
+    some = lambda k: unit(rng.normal(size=(k, 128)))
+    centre = some(1)
+    index, queries = unit(centre + 0.032**0.5 * some(1_500)), unit(centre + 0.032**0.5 * some(1_500))  # one cloud of near misses
+    audited = np.linspace(0, 1_499, 64).astype(int)
+    at = rng.choice(np.setdiff1d(np.arange(1_500), audited), 200, replace=False)
+    queries[at] = unit(index[rng.choice(1_500, 200, replace=False)] + 0.034**0.5 * some(200))
+    r, c, recall = range_search(index, build(index.astype(np.float32)), queries, 0.98)
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(queries @ index.T >= 0.98)), strict=True))
+    assert len(want) >= 200 and set(zip(r.tolist(), c.tolist(), strict=True)) == want and recall == 1.0
+
+
+def test_hnsw_walk_passes_on_evidence():
+    rng = np.random.default_rng(12)
+    index = unit(np.repeat(rng.normal(size=(150, 16)), 10, 0) + 0.02 * rng.normal(size=(1_500, 16)))
+    r, c, recall = range_search(index, build(index.astype(np.float32)), index, 0.98, True)
+    near = index @ index.T >= 0.98
+    assert recall >= 0.999 and len(r) >= 0.999 * near.sum() and near[r, c].all()
+
+
 def test_decontamination_slots(spark):
     item = "if Alice Smith walks 12 km in 3 hours then how far does Alice walk in 5 hours at this pace?"
     same = "Now if Robert Jones walks 14 km in 4 hours then how far does Robert walk in 6 hours at this pace?"
