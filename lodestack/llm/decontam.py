@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Words are canonicalised: numbers, units after numbers and names become typed placeholders, all else is lower-cased
-without punctuation. Windows of template words are hashed and joined with those of the benchmark; a text is reported
-with an item when enough of the item's windows occur in it and the values in the slots agree: the same value of the item
-always stands for the same value of the text. So copies are found with other numbers, names or units as well.
+without punctuation. Windows of template words, shorter ones for short items, are hashed and joined with those of the
+benchmark. A text is reported with an item when the windows found at one distance, or one word off it, cover enough of
+the item's words, or RUN of them in a row, and the values in the slots agree: the same value of the item always stands
+for the same value of the text. So edited and partial copies are found, and those with other numbers, names or units.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from lodestack.llm.common import staged
 
 WINDOW = 8
 LEAST_SHARE = 0.8
+RUN = 13  # words in a row that are a leak of any item
+#: Window by the words an item has at least; from 27 words one edit leaves a run, below it may cost a fifth of the words.
+SHORT = [(27, WINDOW), (15, 3), (2, 2), (1, 1)]
 BROADCAST_ROWS = 200_000  # benchmark windows up to which they are sent to every task (16 bytes each)
 #: Units that become a placeholder after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs d day days week weeks month months year years hour hours minute minutes second seconds usd eur gbp dollars euros pounds percent mph kmh hz khz mhz ghz b kb mb gb tb w kw v k c f".split()
@@ -38,48 +42,61 @@ def _template(text: Column) -> tuple[Column, Column]:
     return F.split(plain, " "), F.split(kinds, " ")
 
 
-def _windows(rows: DataFrame, size: int) -> DataFrame:
-    """(id, pos, h) of each window of template words; texts of fewer words have none."""
+def _windows(rows: DataFrame, sizes: list[int], size: Column | None = None) -> DataFrame:
+    """(id, pos, h) of each window of template words, of these sizes; of each row's own size where that is given."""
     w = F.transform("template", lambda w: F.xxhash64(w))
-    hashed = rows.select("id", w.alias("w"))
-    each = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(size)]))
-    return hashed.select("id", F.posexplode(F.when(F.size("w") >= size, each)).alias("pos", "h"))
+    hashed = rows.select("id", w.alias("w"), (F.lit(0) if size is None else size).alias("size"))
+    each = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(n), *[F.get("w", i + k) for k in range(n)]).alias("h")))
+    parts = [F.when((F.size("w") >= n) & F.col("size").isin(0, n), each(n)).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>")) for n in sizes]
+    return hashed.select("id", F.explode(F.concat(*parts)).alias("x")).select("id", "x.pos", "x.h")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, item_id, item_windows, matched_windows, share, n_slots, changed_slots), one row per leaked item of a text.
 
-    share = matched / all distinct windows of the item, least_share or more. Slots are consistent if no value of the item
-    stands for two values of the text in a row of matched windows that keep their distance. Null and empty texts and
-    items, and items shorter than a window, leak nothing. Rows with one id are read as one text each and reported
-    together; repeated benchmark rows count once. Empty tables give an empty result.
+    share = words of the item covered by matched windows / all its words: the most at one distance, give or take a word.
+    It is least_share or more, or else RUN covered words follow each other at the very distance. Slots are consistent if no
+    value of the item stands for two values of the text there. Null and empty texts and items leak nothing. Rows with one
+    id are read as one text each and reported together; repeated benchmark rows count once. Empty tables give an empty result.
     """
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null").distinct()
     plain, template = _template(F.col("text"))
-    item_rows = staged(items.select("id", plain.alias("plain"), template.alias("template")).where(F.size("template") >= window), "items")
-    asked = _windows(item_rows, window).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h")
-    sizes = asked.groupBy("item").agg(F.countDistinct("h").alias("item_windows"))
+    size = F.coalesce(*[F.when(F.size("template") >= n, F.lit(min(w, window))) for n, w in SHORT])
+    item_rows = staged(items.select("id", plain.alias("plain"), template.alias("template")).where("array_join(template, '') <> ''").withColumn("size", size), "items")
+    used = sorted(r["size"] for r in item_rows.select("size").distinct().collect()) or [window]
+    asked = _windows(item_rows, used, F.col("size")).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h")
+    sizes = item_rows.select(F.col("id").alias("item"), "size", F.size("template").alias("words"))
     few = asked.count() <= BROADCAST_ROWS
     asked = F.broadcast(asked) if few else asked
-    hits = staged(_windows(text.select("id", template.alias("template")), window).join(asked, "h").select("id", "item", "pos", "item_pos", "h"), "hits")
-    full = hits.groupBy("id", "item").agg(F.countDistinct("h").alias("matched_windows")).join(sizes, "item")
-    full = full.withColumn("share", F.col("matched_windows") / F.col("item_windows")).where(F.col("share") >= least_share)
-    found = text.join(full.select("id").distinct(), "id", "left_semi").select("id", plain.alias("doc_plain"))
+    hits = _windows(text.select("id", template.alias("template")), used).join(asked, "h").select("id", "item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    lined = staged(hits.groupBy("id", "item", "shift").agg(F.collect_set("item_pos").alias("at")), "hits")
+    near = lined.withColumn("base", F.explode(F.array(*[F.col("shift") + k for k in (-1, 0, 1)])))
+    near = near.groupBy("id", "item", "base").agg(F.collect_list(F.struct("shift", "at")).alias("parts")).join(sizes, "item")
+    words = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + F.col("size") - 1))))
+    covered = words(F.array_distinct(F.flatten(F.transform("parts", lambda x: x["at"]))))
+    own = words(F.flatten(F.transform(F.filter("parts", lambda x: x["shift"] == F.col("base")), lambda x: x["at"])))
+    near = near.withColumn("covered", F.size(covered)).withColumn("own", own).withColumn("share", F.col("covered") / F.col("words"))
+    row = F.exists("own", lambda p: F.size(F.filter("own", lambda q: (q >= p) & (q < p + RUN))) == RUN)
+    near = near.withColumn("n", F.size(F.array_distinct(F.flatten(F.transform("parts", lambda x: x["at"])))))
+    leaked = staged(near.where((F.col("share") >= least_share) | row).select("id", "item", "base", "parts", "size", "words", "share", "n"), "leaked")
+    full = leaked.select("id").distinct()
+    found = text.join(full, "id", "left_semi").select("id", plain.alias("doc_plain"))
     item_words = item_rows.select(F.col("id").alias("item"), "plain", "template")
-    lined = hits.join(full.select("id", "item"), ["id", "item"]).select("id", "item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
-    runs = lined.groupBy("id", "item", "shift").agg(F.collect_set("item_pos").alias("at"))
-    # values in the slots of each run, once for each place of the item
-    places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + window - 1))))
+    runs = leaked.select("id", "item", "base", "size", F.explode("parts").alias("part")).select("id", "item", "base", "part.shift", words(F.col("part.at")).alias("places"))
+    # values in the slots of each place of the item
     slots = runs.join(item_words, "item").join(found, "id").select(
-        "id", "item", "shift",
+        "id", "item", "base",
         F.explode(F.filter(
-            F.transform(places, lambda p: F.struct(F.get("template", p).alias("kind"), F.get("plain", p).alias("was"), F.get("doc_plain", p + F.col("shift")).alias("now"))),
+            F.transform("places", lambda p: F.struct(F.get("template", p).alias("kind"), F.get("plain", p).alias("was"), F.get("doc_plain", p + F.col("shift")).alias("now"))),
             lambda s: s["kind"].isin("\u0001", "\u0002", "\u0003"),
         )).alias("slot"),
-    ).select("id", "item", "shift", "slot.*")
-    values = slots.groupBy("id", "item", "shift", "kind", "was").agg(F.countDistinct("now").alias("values"), F.min("now").alias("now"))
-    per_run = values.groupBy("id", "item", "shift").agg(F.count("*").alias("n_slots"), F.sum((F.col("was") != F.col("now")).cast("long")).alias("changed_slots"), F.max("values").alias("values"))
-    per = runs.select("id", "item", "shift").join(per_run, ["id", "item", "shift"], "left").where(F.coalesce("values", F.lit(1)) <= 1)
-    per = per.groupBy("id", "item").agg(F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("changed_slots"), F.lit(0)).alias("changed_slots"))
-    return full.join(per, ["id", "item"]).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_windows", "matched_windows", F.round("share", 6).alias("share"), "n_slots", "changed_slots")
+    ).select("id", "item", "base", "slot.*")
+    values = slots.groupBy("id", "item", "base", "kind", "was").agg(F.countDistinct("now").alias("values"), F.min("now").alias("now"))
+    per_run = values.groupBy("id", "item", "base").agg(F.count("*").alias("n_slots"), F.sum((F.col("was") != F.col("now")).cast("long")).alias("changed_slots"), F.max("values").alias("values"))
+    per = leaked.join(per_run, ["id", "item", "base"], "left").where(F.coalesce("values", F.lit(1)) <= 1)
+    per = per.groupBy("id", "item").agg(
+        F.max(F.col("words") - F.col("size") + 1).cast("long").alias("item_windows"), F.max("n").cast("long").alias("matched_windows"), F.max("share").alias("share"),
+        F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("changed_slots"), F.lit(0)).alias("changed_slots"),
+    )
+    return per.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_windows", "matched_windows", F.round("share", 6).alias("share"), "n_slots", "changed_slots")

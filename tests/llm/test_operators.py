@@ -77,6 +77,23 @@ def test_decontamination_slots(spark):
     assert leaks(docs(spark, ["a"]).limit(0), bench).count() == 0
 
 
+def test_decontamination_of_edited_and_partial_passages(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("bcdfghjklm"), 6)) for _ in range(600)]
+    items = {n: [str(w) for w in rng.choice(words, n, replace=False)] for n in (4, 7, 10, 15, 20, 38)}
+    texts, want = [], set()
+    for n, item in items.items():
+        h = n // 2
+        edits = [item, item[:h] + ["qqqqqq"] + item[h + 1 :], item[:h] + ["qqqqqq"] + item[h:], item[:h] + item[h + 1 :], item[: 2 * n // 3], item[n // 2 :], item[: n // 4], item[::-1]]
+        for k, e in enumerate(edits):
+            if k == 0 or (k < 4 and n >= 15) or (k == 1 and n >= 10) or (k in (4, 5) and len(e) >= 13):
+                want.add((len(texts), n))
+            texts.append(" ".join(["zzzzz yyyyy", *e, "xxxxx wwwww"]))
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(docs(spark, texts), bench).collect()}
+    assert want <= got and all(k // 8 == list(items).index(n) and k % 8 < 6 for k, n in got)
+
+
 def test_simhash_against_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog near the river bank while it rains " * 6
     texts = [base, base.upper(), base + "!", None, "", "   ", "one", "one two", base.replace("fox", "cat")]
