@@ -59,8 +59,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, round_trip) of what is left."""
-    return encode_pieces(docs, vocabulary("piece_bpe_32k.model"), with_ids=False)
+    """(doc_id, n_tokens, ids_crc32, round_trip, ids) of what is left."""
+    return encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -53,7 +53,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

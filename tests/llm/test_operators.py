@@ -193,6 +193,18 @@ def test_sentencepiece_equals_the_library(spark):
     assert all(got.values()) and len(got) == len(texts)
 
 
+def test_sentencepiece_query_returns_the_ids(spark):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: sp.encode(r.text or "") for r in d.collect()}
+    for out in (Q.op9_sentencepiece(spark, SF), corpus_pipeline.encode(spark, d, SF)):
+        assert {r.doc_id: r.ids for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_queries_run(spark, name):
     assert Q.queries()[name](spark, SF).count() > 0 or name == "op2_decontaminate"
