@@ -27,39 +27,43 @@ RANK = 32
 NEIGHBOURS = 25
 SHARPNESS = 8.0
 THRESHOLD = 0.3
+PIECE = 64  # characters
 CACHE = 200_000
 BLOCK = 512
 _RUNS = re.compile(r"(.)\1+")
 
 
-def shape(word: str) -> str:
-    """A word's kinds of characters, runs as one: A upper case, a other letters, 9 digits, signs as they are; ' marks more than three letters."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    return _RUNS.sub(r"\1", kinds)[:8] + ("'" if len(word) > 3 else "")
+def shapes(word: str) -> list[str]:
+    """A word's kinds of characters, runs as one, 8 at a time: A upper case, a other letters, 9 digits, signs as they are; ' marks more than three letters."""
+    kinds = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
+    return [kinds[i : i + 8] + ("'" if len(word) > 3 else "") for i in range(0, len(kinds), 8)]
 
 
-def terms(text: str | None, seen: dict[str, int]) -> dict[int, float]:
-    """Share of each hashed term; null as empty, an empty text has one term of its own."""
+def terms(text: str | None, seen: dict[str, list[int]]) -> dict[int, float]:
+    """Share of each hashed term; null as empty, an empty text has one term of its own. Long words count as words of PIECE characters."""
     words = (text or "").split()
     if not words:
         return {0: 1.0}
+    if max(map(len, words)) > PIECE:
+        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
     bag: Counter = Counter()
     for word, n in Counter(words).items():
-        k = seen.get(word)
-        if k is None:
-            k = 1 + xxhash.xxh64_intdigest(shape(word)) % (TERMS - 20)
+        ks = seen.get(word)
+        if ks is None:
+            ks = [1 + xxhash.xxh64_intdigest(k) % (TERMS - 20) for k in shapes(word)]
             if len(seen) < CACHE:
-                seen[word] = k
-        bag[k] += n
-    total = len(words)
-    out = {k: np.sqrt(n / total) for k, n in bag.items()}
+                seen[word] = ks
+        for k in ks:
+            bag[k] += n
+    total, held = len(words), sum(bag.values())
+    out = {k: np.sqrt(n / held) for k, n in bag.items()}
     out[TERMS - 1] = np.sqrt(sum(map(eq, words, words[1:])) / total)
     out[TERMS - 2] = np.sqrt(max(0.0, 1 - len(set(words)) / total))
     out[TERMS - 3 - min(15, total.bit_length())] = 0.3  # length, by powers of two
     return out
 
 
-def _matrix(texts: list, seen: dict[str, int]) -> np.ndarray:
+def _matrix(texts: list, seen: dict[str, list[int]]) -> np.ndarray:
     x = np.zeros((len(texts), TERMS), np.float32)
     for i, t in enumerate(texts):
         bag = terms(t, seen)
@@ -81,7 +85,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     train = training_rows(docs, labels, target, ~held_out(F.col("doc_id"), 5, 0), most, id_col, text_col)
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
+        seen: dict[str, list[int]] = {}
         for x in batches:
             made = [terms(t, seen) for t in x["text"]]
             yield pd.DataFrame({"doc_id": x["doc_id"], "label": x["label"], "keys": [list(b) for b in made], "shares": [[float(v) for v in b.values()] for b in made]})
@@ -105,7 +109,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to, vectors, label = model.value
         k = min(NEIGHBOURS, len(vectors))
-        seen: dict[str, int] = {}
+        seen: dict[str, list[int]] = {}
         for x in batches:
             for i in range(0, len(x), BLOCK):
                 part = x.iloc[i : i + BLOCK]

@@ -15,7 +15,7 @@ from lodestack.llm.decontam import leaks
 from lodestack.llm.hnsw import build, embedding_groups, range_search, unit
 from lodestack.llm.html_text import main_text
 from lodestack.llm.piece_codec import PieceModel, encode_pieces
-from lodestack.llm.quality import quality_scores
+from lodestack.llm.quality import quality_scores, terms
 from lodestack.llm.simhash import allocate, fingerprint, simhash_groups
 from lodestack.llm.suffix_dedup import LoserTree, front_code, remove_repeats
 from lodestack.llm.token_codec import decode_ids, encode_ids, token_digests
@@ -118,6 +118,14 @@ def test_classifiers_on_held_out_labels(spark, score, target):
     assert few.count() == 3 and few.where("score between 0 and 1").count() == 3
 
 
+def test_quality_reads_whole_words():
+    rng = np.random.default_rng(6)
+    blob = "".join(rng.choice(list("abcXYZ019+/"), 5_000))
+    for rest in ("aaaa", "????", "漢字。" * 40):
+        assert terms(blob + rest, {}) != terms(blob, {})
+    assert terms("aA9-aA9-a?", {}) != terms("aA9-aA9-a!", {})
+
+
 def test_main_text():
     page = "<html><head><title>T</title></head><body><nav><a href=/a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; more</h1><p>One <b>two\n three<br>four<p>Five</article><div id=comments>hi</div><script>'</p>'</script><footer>f</footer>"
     assert main_text(page) == "Head & more\nOne two three four\nFive"
