@@ -21,9 +21,11 @@ RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 DROPPED = {"nav", "footer", "aside", "form", "head", "button", "select", "svg", "dialog", "menu", "object", "canvas"}
-CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
+CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": BLOCKS}
 FENCES = {"article", "section", "div", "table", "td", "ul", "ol", "dl", "body", "html", "main", "blockquote"}
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|sidebar|side|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|comments?|respond|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|widget|pagination|toolbar)(?=$|[\s_-])", re.I)
+#: Elements whose class and id are not asked: density decides.
+PLAIN = {"article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li"}
+BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|sidebar|side|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|comments?|respond|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|widget|pagination|toolbar)(?=$|\s)", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -38,13 +40,13 @@ class Node:
 
 
 def parse(source: str) -> Node:
-    """The tree of elements and texts below html; dropped elements are left out, with all they hold."""
+    """The tree of elements and texts below html; dropped elements are left out, with all they hold: their parents don't list them."""
     top = at = Node("html", None)
-    place, skip = 0, None
+    place = 0
     while place < len(source):
         m = _TAG.search(source, place)
         text = source[place : m.start() if m else len(source)]
-        if text and at is not None and not skip:
+        if text and at is not None:
             at.kids.append(html.unescape(text))
         if not m:
             break
@@ -54,13 +56,8 @@ def parse(source: str) -> Node:
             continue
         closes = m[1] or m[4]
         if closes:
-            if skip:
-                if skip[0] == name:
-                    skip.pop()
-                    skip = skip or None
-                continue
             x = at
-            while x is not None and x.tag != name and not (name not in BLOCKS and x.tag in FENCES):
+            while x is not None and x.tag != name and not (name not in BLOCKS | DROPPED and x.tag in FENCES):
                 x = x.up
             if x is not None and x.tag == name and x.up is not None:
                 at = x.up
@@ -69,14 +66,10 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, place)
             place = end.end() if end else len(source)
             continue
-        if skip:
-            if name == skip[0]:
-                skip.append(name)
-            continue
         if name in ("html", "body") or name in VOID:
             if name in ("br", "hr", "wbr", "img"):
                 at.kids.append(" " if name != "hr" else Node("hr", at))
-            elif name == "body" and at is top:
+            elif name == "body" and (at is top or at.tag == "head"):
                 at = Node("body", top)
                 top.kids.append(at)
             continue
@@ -87,11 +80,9 @@ def parse(source: str) -> Node:
             x = x.up
         inside = lambda kind: (lambda y: y is not None)(next((y for y in _path(at) if y.tag == kind), None))  # noqa: E731, B023
         marks = " ".join(filter(None, (v for g in _MARK.findall(m[3] or "") for v in g)))
-        if name in DROPPED or (name == "header" and not inside("article")) or (name in BLOCKS and name not in ("article", "main") and marks and BOILERPLATE.search(marks)):
-            skip = [name]
-            continue
         new = Node(name, at)
-        at.kids.append(new)
+        if not (name in DROPPED or (name == "header" and not inside("article")) or (name in BLOCKS - PLAIN and marks and BOILERPLATE.search(marks))):
+            at.kids.append(new)
         if not (m[3] or "").endswith("/"):
             at = new
     return top

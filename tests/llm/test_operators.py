@@ -126,6 +126,17 @@ def test_quality_reads_whole_words():
     assert terms("aA9-aA9-a?", {}) != terms("aA9-aA9-a!", {})
 
 
+def test_main_text_after_unclosed_boilerplate():
+    text = "some words of the article that are long enough to be read as text"
+    for tag, wrap in (("p", "article"), ("li", "ul")):
+        page = f"<body><{wrap}><{tag}>One {text}<{tag} class=share>{text} x<{tag}>Two {text}</{wrap}><div class='ad'><p>buy</div><article><p>Three {text}</article>"
+        assert all(f"{w} {text}" in main_text(page) for w in ("One", "Two", "Three")) and "buy" not in main_text(page)
+    page = f"<body><div><div class=sidebar>gone</div><section><aside>gone<p>gone</section><section><p>Four {text}</section></div>"
+    assert main_text(page) == f"Four {text}"
+    kept = f"<h2 id='side-effects'>Side effects</h2><section id='related-work'><p>{text}</section><div class='notice-period'><p>{text}</div>"
+    assert main_text(f"<body><article>{kept}</article>") == f"Side effects\n{text}\n{text}"
+
+
 def test_main_text():
     page = "<html><head><title>T</title></head><body><nav><a href=/a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; more</h1><p>One <b>two\n three<br>four<p>Five</article><div id=comments>hi</div><script>'</p>'</script><footer>f</footer>"
     assert main_text(page) == "Head & more\nOne two three four\nFive"
