@@ -5,27 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one where that is unset and all runs in one machine, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='lodestack-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage, and survives lost executors.
-
-    The shuffles that made it are of no more use; a collection in the driver's JVM lets Spark's cleaner delete their files.
-    """
+    """df, written as Parquet to the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -42,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(text: Column) -> Column:
+    """The text's MD5, 16 bytes; null as the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file, which every machine of the cluster has installed."""
     import public_tokenizers
