@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import staged
+from lodestack.llm.common import discard, staged
+
+SALTS = 64  # tasks that share the neighbours of a hub
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first())
 
 
+def _with_least(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """pairs with the least value of each key as m. A hub's rows are dealt by the value: SALTS minima go back to them, and no task gets them all."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    some = salted.groupBy(key, "salt").agg(F.min(value).alias("some"))
+    least = some.groupBy(key).agg(F.min("some").alias("m"))
+    return salted.join(some.join(least, key).select(key, "salt", "m"), [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has an edge to another one; component is the smallest node reachable.
 
     Nulls and loops are no edges; repeated edges count once; no edges give an empty table. A node's neighbours are
-    never gathered: each step takes minima, combined before the shuffle, and joins them back.
+    never gathered: each step takes minima, combined before the shuffle, and joins them back, a hub's in SALTS portions.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     now = staged(edges.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"), (x != y).alias("ok")).where("ok").select("hi", "lo").distinct(), "edges")
     was = _state(now)
     for _ in range(most_rounds if was[0] else 0):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = staged(small.unionAll(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
+        low = _with_least(large, "hi", "lo")
+        small = low.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        old, now = now, staged(small.unionAll(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        discard(old)
         state = _state(now)
         if state == was:
             break
