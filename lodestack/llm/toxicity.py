@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,29 +135,48 @@ def _featured(rows: DataFrame, learned: dict[str, float], keep: str) -> DataFram
     return rows.mapInPandas(each, f"{keep}, {', '.join(f'{f} double' for f in FEATURES)}")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", threshold: float = THRESHOLD, most: int = TRAIN_ROWS, trees: int = 20) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs; only the text is scored.
+def _feature_column(text: Column, learned: dict[str, float]) -> Column:
+    @F.pandas_udf("array<double>")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen: dict = {}
+        for x in batches:
+            yield pd.Series([features(t, learned, seen) for t in x])
 
-    Labels are learnt from rows whose crc32(doc_id as text) mod 3 is not 1, at most `most` of them. Null and empty texts
-    are scored as texts of no words. Without both labels every score is the mean of those there are, 0 if none. Repeated
-    rows get equal results; a null doc_id has a null held_out and is never learnt from; null labels are passed over.
-    """
+    return each(text)
+
+
+def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", most: int = TRAIN_ROWS, trees: int = 20) -> DataFrame:
+    """docs, every row and column of it, with its score as lodestack_toxicity; no row is shuffled. What is learnt: see toxicity_scores."""
     train = training_rows(docs, labels, target, ~held_out(F.col("doc_id"), 3, 1), most, id_col, text_col)
     train = staged(train, "toxicity-rows")
     learned = _lexicon(train.where("fold = 0"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = staged(_featured(train.where("fold > 0"), learned, "doc_id long, label int, fold int"), "toxicity-features")
     found = {(r["fold"], r["label"]): r["n"] for r in known.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
-    out = held_out(F.col("doc_id"), 3, 1).alias("held_out")
     if not all(found.get((fold, label)) for fold in (1, 2) for label in (0, 1)):
         mean = sum(n for (_, label), n in found.items() if label) / max(1, sum(found.values()))
-        return rows.select("doc_id", out, F.lit(float(mean)).alias("score"), F.lit(int(mean >= threshold)).alias("predicted"))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=4, stepSize=0.2, seed=11, maxBins=64, minInstancesPerNode=4).fit(vectors.transform(known.where("fold = 1")))
-    margin = vector_to_array("probability")[1]
-    raw = lambda x: model.transform(vectors.transform(x)).withColumn("raw", margin)
-    iso = IsotonicRegression(labelCol="label", featuresCol="raw").fit(raw(known.where("fold = 2")).select("raw", F.col("label").cast("double")))
-    scored = iso.transform(raw(_featured(rows, learned, "doc_id long")).select("doc_id", "raw"))
+        return docs.withColumn("lodestack_toxicity", F.lit(float(mean)))
+    # names that columns of docs don't have
+    name = {k: f"lodestack_{k}" for k in ("features", "probability", "margin", "class", "raw", "step")}
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol=name["features"])
+    trained = GBTClassifier(labelCol="label", featuresCol=name["features"], predictionCol=name["class"], maxIter=trees, maxDepth=4, stepSize=0.2, seed=11, maxBins=64, minInstancesPerNode=4)
+    model = trained.setProbabilityCol(name["probability"]).setRawPredictionCol(name["margin"]).fit(vectors.transform(known.where("fold = 1")))
+    raw = lambda x: model.transform(x).withColumn(name["raw"], vector_to_array(name["probability"])[1])
+    iso = IsotonicRegression(labelCol="label", featuresCol=name["raw"], predictionCol=name["step"])
+    iso = iso.fit(raw(vectors.transform(known.where("fold = 2"))).select(name["raw"], F.col("label").cast("double")))
+    scored = iso.transform(raw(docs.withColumn(name["features"], array_to_vector(_feature_column(F.col(text_col).cast("string"), learned)))))
     # calibrated, with the trees' own order kept inside a step
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction") * 0.98 + F.col("raw") * 0.02))
-    return scored.select("doc_id", out, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(name["step"]) * 0.98 + F.col(name["raw"]) * 0.02))
+    return scored.select(*docs.columns, score.alias("lodestack_toxicity"))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", threshold: float = THRESHOLD, most: int = TRAIN_ROWS, trees: int = 20) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of docs; only the text is scored.
+
+    Labels are learnt from rows whose crc32(doc_id as text) mod 3 is not 1, at most `most` of them. Null and empty texts
+    are scored as texts of no words. Without both labels every score is the mean of those there are, 0 if none. Repeated
+    rows get equal results; a null doc_id has a null held_out and is never learnt from; null labels are passed over.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    labelled = labels.select(F.col(id_col).alias("doc_id"), target)
+    made = with_toxicity(rows, labelled, target=target, most=most, trees=trees).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("lodestack_toxicity").alias("score"))
+    return made.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
