@@ -5,6 +5,7 @@ without punctuation. Windows of template words, shorter ones for short items, ar
 benchmark. A text is reported with an item when the windows found at one distance, or one word off it, cover enough of
 the item's words, or RUN of them in a row, and the values in the slots agree: the same value of the item always stands
 for the same value of the text. So edited and partial copies are found, and those with other numbers, names or units.
+An item's windows are also asked with its names as lower-case words, so copies in one case are found whatever was a name.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import staged
+from lodestack.llm.common import staged, text_key
 
 WINDOW = 8
 LEAST_SHARE = 0.8
@@ -28,14 +29,14 @@ NUMBER = r"[+-]?[0-9]+(?:[.,:/-][0-9]+)*"
 def _template(text: Column) -> tuple[Column, Column]:
     """(plain words, template words), of equal length: lower-cased without the punctuation around them, with placeholders in the second.
 
-    A name is a capitalised word, not all capitals, after a word on the same line that ends no sentence.
+    White space of any kind and length is one blank. A name is a capitalised word, not all capitals, after a word that ends no sentence.
     """
-    whole = F.coalesce(text, F.lit(""))
-    marked = F.regexp_replace(whole, r"(?=\p{Lu}\p{Ll})(?<=[^\s.!?:;|][ \t])", "\u0001")
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+", " ")
+    marked = F.regexp_replace(whole, r"(?=\p{Lu}\p{Ll})(?<=[^\s.!?:;|] )", "\u0001")
     numbered = F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}])[$€£]?[+-]?{NUMBER}%?(?![\p{{L}}\p{{N}}])", "\u0002$0")
     united = F.regexp_replace(numbered, rf"(?i)(\u0002[^\s\p{{L}}]+\s+)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1\u0003$2")
     held = F.when(whole.rlike("[0-9]"), united).otherwise(marked)
-    spaced = F.regexp_replace(F.regexp_replace(held, r"[\p{Punct}&&[^$%+-]]+", ""), r"\s[\s+-]*(?:\s|$)|[\n\t]", " ")
+    spaced = F.regexp_replace(F.regexp_replace(held, r"[\p{Punct}&&[^$%+-]]+", ""), r" [ +-]*(?: |$)", " ")
     held = F.lower(F.trim(spaced))
     plain = F.translate(held, "\u0001\u0002\u0003", "")
     kinds = F.when(held.rlike("[\u0001-\u0003]"), F.regexp_replace(held, "([\u0001-\u0003])\\S*", "$1")).otherwise(held)
@@ -51,21 +52,22 @@ def _windows(rows: DataFrame, sizes: list[int], size: Column | None = None) -> D
     return hashed.select("id", F.explode(F.concat(*parts)).alias("x")).select("id", "x.pos", "x.h")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, item_id, item_windows, matched_windows, share, n_slots, changed_slots), one row per leaked item of a text.
+def text_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(key, item, item_windows, matched_windows, share, n_slots, changed_slots), one row per leaked item of a text; key: MD5 of the text.
 
     share = words of the item covered by matched windows / all its words: the most at one distance, give or take a word.
     It is least_share or more, or else RUN covered words follow each other at the very distance. Slots are consistent if no
-    value of the item stands for two values of the text there. Null and empty texts and items leak nothing. Rows with one
-    id are read as one text each and reported together; repeated benchmark rows count once. Empty tables give an empty result.
+    value of the item stands for two values of the text there. Equal texts are one; repeated benchmark rows count once.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    text = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").select(text_key(F.col("text")).alias("id"), "text")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null").distinct()
     plain, template = _template(F.col("text"))
     size = F.coalesce(*[F.when(F.size("template") >= n, F.lit(min(w, window))) for n, w in SHORT])
     item_rows = staged(items.select("id", plain.alias("plain"), template.alias("template")).where("array_join(template, '') <> ''").withColumn("size", size), "items")
     used = sorted(r["size"] for r in item_rows.select("size").distinct().collect()) or [window]
-    asked = _windows(item_rows, used, F.col("size")).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h")
+    # names as they are: the lower-case word, which a text has that shows no name there
+    bare = item_rows.withColumn("template", F.zip_with("plain", "template", lambda p, t: F.when(t == "\u0001", p).otherwise(t)))
+    asked = _windows(item_rows.unionByName(bare), used, F.col("size")).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h").distinct()
     sizes = item_rows.select(F.col("id").alias("item"), "size", F.size("template").alias("words"))
     few = asked.count() <= BROADCAST_ROWS
     asked = F.broadcast(asked) if few else asked
@@ -81,7 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     near = near.withColumn("n", F.size(F.array_distinct(F.flatten(F.transform("parts", lambda x: x["at"])))))
     leaked = staged(near.where((F.col("share") >= least_share) | row).select("id", "item", "base", "parts", "size", "words", "share", "n"), "leaked")
     full = leaked.select("id").distinct()
-    found = text.join(full, "id", "left_semi").select("id", plain.alias("doc_plain"))
+    found = text.join(full, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")).select("id", plain.alias("doc_plain"))
     item_words = item_rows.select(F.col("id").alias("item"), "plain", "template")
     runs = leaked.select("id", "item", "base", "size", F.explode("parts").alias("part")).select("id", "item", "base", "part.shift", words(F.col("part.at")).alias("places"))
     # values in the slots of each place of the item
@@ -99,4 +101,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.max(F.col("words") - F.col("size") + 1).cast("long").alias("item_windows"), F.max("n").cast("long").alias("matched_windows"), F.max("share").alias("share"),
         F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("changed_slots"), F.lit(0)).alias("changed_slots"),
     )
-    return per.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_windows", "matched_windows", F.round("share", 6).alias("share"), "n_slots", "changed_slots")
+    return per.select(F.col("id").alias("key"), "item", "item_windows", "matched_windows", F.round("share", 6).alias("share"), "n_slots", "changed_slots")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id, item_id, item_windows, matched_windows, share, n_slots, changed_slots), one row per leaked item of a doc_id; see text_leaks.
+
+    Null and empty texts and items leak nothing. Rows with one doc_id are read as one text each and reported together, with the
+    greatest share; so are those without one. Empty tables give an empty result.
+    """
+    found = staged(text_leaks(docs, benchmark, text_col, item_col, item_text, window, least_share), "text-leaks")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col).cast("string")).alias("key"))
+    most = [F.max(c).alias(c) for c in ("item_windows", "matched_windows", "share", "n_slots")]
+    return rows.join(found, "key").groupBy("doc_id", F.col("item").alias("item_id")).agg(*most, F.min("changed_slots").alias("changed_slots"))
