@@ -23,6 +23,7 @@ SPACE = "▁"
 CACHE = 400_000  # units that are remembered between batches
 BATCH_CHARS = 2_000_000  # characters of units that are indexed at once
 DOCS = 1_000
+GAP = 0x110000  # stands between units; no character has this code
 
 
 class PieceModel:
@@ -82,10 +83,10 @@ class PieceModel:
         return self.fits[at]
 
     def edges(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, piece id) of every occurrence of every piece; points: code points, 0 between units."""
+        """(place, piece id) of every occurrence of every piece; points: code points, GAP between units."""
         rank = np.searchsorted(self.letters, points)
         hit = self.letters[np.minimum(rank, len(self.letters) - 1)] == points
-        codes = np.concatenate([np.where(hit, rank + 1, np.where(points == 0, 0, 0xFFFE)), np.zeros(self.width, np.int64)]).astype(">u2")
+        codes = np.concatenate([np.where(hit, rank + 1, np.where(points == GAP, 0, 0xFFFE)), np.zeros(self.width, np.int64)]).astype(">u2")
         suffixes = np.lib.stride_tricks.sliding_window_view(codes, self.width)[: len(points)].copy().view(f"S{2 * self.width}").ravel()
         order = np.argsort(suffixes)
         ordered = suffixes[order]
@@ -93,7 +94,7 @@ class PieceModel:
         count = last - first
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         places = order[np.repeat(first, count) + within]
-        odd = np.flatnonzero(~hit & (points != 0))
+        odd = np.flatnonzero(~hit & (points != GAP))
         return np.concatenate([places, odd]), np.concatenate([np.repeat(self.ids, count), self.base + points[odd]])
 
     def encode_units(self, units: list[str]) -> list[bytes]:
@@ -101,6 +102,7 @@ class PieceModel:
         sizes = np.array([len(u) for u in units], np.int64)
         points = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
+        points[starts + sizes] = GAP
         owner = np.repeat(np.arange(len(units)), sizes + 1)
         place, piece = self.edges(points)
         length = np.where(piece < self.base, self.sizes[np.minimum(piece, self.base - 1)], 1)
