@@ -2,64 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import staged, table, vocabulary
-from lodestack.llm.decontam import leaks
+from lodestack.llm.common import staged, table, text_key, vocabulary
+from lodestack.llm.decontam import text_leaks
 from lodestack.llm.piece_codec import encode_pieces
-from lodestack.llm.simhash import simhash_groups
-from lodestack.llm.suffix_dedup import remove_repeats
-from lodestack.llm.toxicity import toxicity_scores
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows with these doc_ids; rows without a doc_id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+from lodestack.llm.simhash import one_of_each
+from lodestack.llm.suffix_dedup import cut_texts
+from lodestack.llm.toxicity import THRESHOLD, with_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator accepts."""
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.where("predicted = 1"))
+    """Rows that the toxicity operator accepts; each is judged by its own text, with null and repeated doc_ids. Null and empty texts are texts of no words."""
+    scored = with_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("lodestack_toxicity") < THRESHOLD).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group; of rows with one doc_id the one whose text is first."""
-    groups = staged(simhash_groups(docs).select("doc_id", "kept"), "groups")
-    alone = _without(docs, groups.where("not kept and doc_id is not null"))
-    again = staged(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"), "repeated")
-    if again.isEmpty():
-        return alone
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    of_many = alone.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("lodestack_rank", first).where("lodestack_rank = 1")
-    return _without(alone, again).unionByName(of_many.select(docs.columns))
+    """One row of each near-duplicate group: that with the smallest doc_id (null last), of equals the smallest text hash. Null, empty and blank texts are one group."""
+    return one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long repeats; a text of which nothing is left goes. Broken characters at cuts go too. Rows without a doc_id stay as they are."""
-    made = remove_repeats(docs.where("doc_id is not null")).where("n_removed > 0").select("doc_id", "kept_bytes")
-    cut = made.mapInPandas(_decoded, "doc_id long, lodestack_text string")
-    joined = docs.join(cut, "doc_id", "left").where("lodestack_text is null or lodestack_text <> ''")
-    text = F.coalesce("lodestack_text", "text")
-    return joined.withColumn("n_chars", F.when(F.col("lodestack_text").isNotNull(), F.length("lodestack_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(docs.columns)
-
-
-def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        yield pd.DataFrame({"doc_id": x["doc_id"], "lodestack_text": [b.decode("utf-8", "ignore") for b in x["kept_bytes"]]})
+    """Texts without the bytes of long repeats, n_chars with them; a row of whose text nothing is left goes. Broken characters at cuts go too. Other rows stay as they are."""
+    sized = docs.withColumn("lodestack_was", F.md5("text"))
+    cut = cut_texts(sized)
+    changed = ~F.md5("text").eqNullSafe(F.col("lodestack_was"))
+    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Rows whose text holds no item of the benchmark. Null and empty texts hold none."""
+    found = staged(text_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("lodestack_key")).distinct(), "leaked-texts")
+    return docs.withColumn("lodestack_key", text_key(F.col("text"))).join(found, "lodestack_key", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, round_trip, ids) of what is left."""
+    """(doc_id, n_tokens, ids_crc32, round_trip, ids) of what is left, a row each; null and empty texts have no ids."""
     return encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
 
 

@@ -19,4 +19,4 @@ def test_stages(spark):
 def test_repeated_rows(spark):
     rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "A B C D", "en", "s", 7), (None, "a b c d", "en", "s", 7), (3, None, "en", "s", 0)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r.doc_id or 0 for r in P.keep_one_of_each(spark, d, "").collect()) == [0, 1, 3]
+    assert sorted(r.doc_id or 0 for r in P.keep_one_of_each(spark, d, "").collect()) == [1, 3]
