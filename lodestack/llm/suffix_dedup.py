@@ -30,9 +30,9 @@ GRAM = 40
 PIECE = 1 << 20  # bytes of a text that are hashed at once
 FLUSH = 1_000_000  # anchors whose grams are asked for at once
 GRAM_ROWS = 2_000_000  # hashes of grams that one task compares
-RUN_ROWS = 80_000  # suffixes that are sorted at once
-PART_ROWS = 80_000  # suffixes that one merge gets
-HOT_GRAM = 40_000  # a gram that occurs more often is counted by windows
+RUN_ROWS = 60_000  # suffixes that are sorted at once
+PART_ROWS = 40_000  # suffixes that one merge gets on average
+HOT_GRAM = 200_000  # a gram that occurs more often is counted by windows: as many suffixes fit a task (200 MB)
 PACK, UNPACK = zstandard.compress, zstandard.decompress  # texts and runs travel packed
 #: How repeated a gram is.
 ONCE, REPEATED, HOT = 0, 1, 2
