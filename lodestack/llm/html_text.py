@@ -2,7 +2,8 @@
 
 For every element: characters, tags, link characters and link tags below it give its link-adjusted characters per tag;
 an element's sum adds those of its children. The element with the greatest sum is the main text; the least density on
-its path from body is the threshold for others, each of which adds its own subtree with the greatest sum.
+its path from body is the threshold for others, each of which adds its own subtree with the greatest sum. A class or id
+that names boilerplate lowers an element's density, and leaves it out unless the main text is found in it all the same.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,47 +22,94 @@ from pyspark.sql import functions as F
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-DROPPED = {"nav", "footer", "aside", "form", "head", "button", "select", "svg", "dialog", "menu", "object", "canvas"}
+#: Never main text. What an element of FADED holds is, only if the main text itself is in it.
+DROPPED = {"nav", "footer", "aside", "head", "button", "select", "svg", "menu", "object", "canvas"}
+FADED = {"form", "dialog"}
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": BLOCKS}
+CLOSES = {name: [tag for tag, by in CLOSED_BY.items() if name in by] for name in BLOCKS | {"option"}}
 FENCES = {"article", "section", "div", "table", "td", "ul", "ol", "dl", "body", "html", "main", "blockquote"}
 #: Elements whose class and id are not asked: density decides.
-PLAIN = {"article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li"}
+PLAIN = {"article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "body"}
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|sidebar|side|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|comments?|respond|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|widget|pagination|toolbar)(?=$|\s)", re.I)
+#: Class words that only speak of boilerplate elsewhere, and those of an article's own heading.
+SPOKEN = re.compile(r"(?:^|(?<=\s))(?:\S*[_-])?(?:has|no|with|without|hide|show)[_-]\S+|(?:^|(?<=\s))(?:entry|post|article|story|content)[_-]+header(?=$|\s)", re.I)
+LEAST_PROSE = 120  # characters without links that make a faded element the main text, where a page has no other
+FADE = 0.05  # what counts of the density of an element that is named as boilerplate
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 class Node:
-    __slots__ = ("chars", "density", "down", "kids", "link_chars", "link_tags", "sum", "tag", "tags", "up")
+    __slots__ = ("chars", "density", "faded", "kids", "link_chars", "link_tags", "sum", "tag", "tags", "up")
 
-    def __init__(self, tag: str, up: Node | None):
-        self.tag, self.up, self.kids, self.down = tag, up, [], False
+    def __init__(self, tag: str, up: Node | None, faded: bool = False):
+        self.tag, self.up, self.kids, self.faded = tag, up, [], faded
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
+class _Open:
+    """The open elements, with their number by tag, in all and since the last fence: so an end tag without a start is passed over at once."""
+
+    def __init__(self) -> None:
+        self.top = self.at = Node("html", None)
+        self.all: Counter = Counter(html=1)
+        self.since: list[Counter] = [Counter()]
+
+    def push(self, node: Node) -> None:
+        self.at = node
+        self.all[node.tag] += 1
+        self.since[-1][node.tag] += 1
+        if node.tag in FENCES:
+            self.since.append(Counter())
+
+    def pop_to(self, node: Node) -> None:
+        while self.at is not node:
+            x = self.at
+            if x.tag in FENCES:
+                self.since.pop()
+            self.all[x.tag] -= 1
+            self.since[-1][x.tag] -= 1
+            self.at = x.up
+
+    def end(self, name: str) -> None:
+        """An end tag; one of no block does not reach beyond a fence."""
+        block = name in BLOCKS or name in DROPPED or name in FADED
+        if not (self.all if block else self.since[-1])[name]:
+            return
+        x = self.at
+        while x.tag != name:
+            x = x.up
+        if x.up is not None:
+            self.pop_to(x.up)
+
+    def imply_ends(self, name: str) -> None:
+        """Closes what a start tag of this name ends without an end tag."""
+        ended = CLOSES.get(name, ())
+        while any(self.since[-1][tag] for tag in ended) or (self.at.up is not None and self.at.tag in ended):
+            x = self.at
+            while x.tag not in ended:
+                x = x.up
+            self.pop_to(x.up)
+
+
 def parse(source: str) -> Node:
     """The tree of elements and texts below html; dropped elements are left out, with all they hold: their parents don't list them."""
-    top = at = Node("html", None)
-    place = 0
+    state = _Open()
+    top, place = state.top, 0
     while place < len(source):
         m = _TAG.search(source, place)
         text = source[place : m.start() if m else len(source)]
-        if text and at is not None:
-            at.kids.append(html.unescape(text))
+        if text:
+            state.at.kids.append(html.unescape(text))
         if not m:
             break
         place = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
-        closes = m[1] or m[4]
-        if closes:
-            x = at
-            while x is not None and x.tag != name and not (name not in BLOCKS | DROPPED and x.tag in FENCES):
-                x = x.up
-            if x is not None and x.tag == name and x.up is not None:
-                at = x.up
+        if m[1] or m[4]:
+            state.end(name)
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, place)
@@ -68,23 +117,21 @@ def parse(source: str) -> Node:
             continue
         if name in ("html", "body") or name in VOID:
             if name in ("br", "hr", "wbr", "img"):
-                at.kids.append(" " if name != "hr" else Node("hr", at))
-            elif name == "body" and (at is top or at.tag == "head"):
-                at = Node("body", top)
-                top.kids.append(at)
+                state.at.kids.append(" " if name != "hr" else Node("hr", state.at))
+            elif name == "body" and (state.at is top or state.at.tag == "head"):
+                state.pop_to(top)
+                new = Node("body", top)
+                top.kids.append(new)
+                state.push(new)
             continue
-        x = at
-        while x is not None and x.tag not in FENCES:
-            if name in CLOSED_BY.get(x.tag, ()):
-                at = x.up
-            x = x.up
-        inside = lambda kind: (lambda y: y is not None)(next((y for y in _path(at) if y.tag == kind), None))  # noqa: E731, B023
+        state.imply_ends(name)
         marks = " ".join(filter(None, (v for g in _MARK.findall(m[3] or "") for v in g)))
-        new = Node(name, at)
-        if not (name in DROPPED or (name == "header" and not inside("article")) or (name in BLOCKS - PLAIN and marks and BOILERPLATE.search(marks))):
-            at.kids.append(new)
+        named = name in BLOCKS and name not in PLAIN and bool(marks) and bool(BOILERPLATE.search(SPOKEN.sub("", marks)))
+        new = Node(name, state.at, named or name in FADED)
+        if not (name in DROPPED or (name == "header" and not state.all["article"])):
+            state.at.kids.append(new)
         if not (m[3] or "").endswith("/"):
-            at = new
+            state.push(new)
     return top
 
 
@@ -104,10 +151,11 @@ def _measure(top: Node) -> list[Node]:
     for x in reversed(order):
         own = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
         kids = [k for k in x.kids if isinstance(k, Node)]
-        x.chars = own + sum(k.chars for k in kids)
-        x.tags = len(kids) + sum(k.tags for k in kids)
-        x.link_chars = x.chars if x.tag == "a" else sum(k.link_chars for k in kids)
-        x.link_tags = (x.tag == "a") + sum(k.link_tags for k in kids)
+        part = [FADE if k.faded else 1 for k in kids]
+        x.chars = own + sum(k.chars * f for k, f in zip(kids, part, strict=True))
+        x.tags = sum((1 + k.tags) * f for k, f in zip(kids, part, strict=True))
+        x.link_chars = x.chars if x.tag == "a" else sum(k.link_chars * f for k, f in zip(kids, part, strict=True))
+        x.link_tags = (x.tag == "a") + sum(k.link_tags * f for k, f in zip(kids, part, strict=True))
     body = next((x for x in order if x.tag == "body"), top)
     ratio = body.link_chars / max(1, body.chars)
     for x in reversed(order):
@@ -115,12 +163,19 @@ def _measure(top: Node) -> list[Node]:
         if c:
             base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
             x.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt) + 1e-9) / max(1e-9, math.log(base + 1)) if lc else c / t
-        x.sum = sum(k.density for k in x.kids if isinstance(k, Node)) + sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
+    held = {id(top): FADE if top.faded else 1.0}  # what counts of each element, for itself and the faded ones around it
+    for x in order:
+        for k in x.kids:
+            if isinstance(k, Node):
+                held[id(k)] = FADE if k.faded else held[id(x)]
+        x.density *= held[id(x)]
+    for x in order:
+        x.sum = sum(k.density for k in x.kids if isinstance(k, Node)) + held[id(x)] * sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
     return order
 
 
-def _blocks(node: Node, chosen: set[int]) -> list[str]:
-    """Texts of the chosen elements' blocks in page order."""
+def _blocks(node: Node, chosen: set[int], open_: set[int]) -> list[str]:
+    """Texts of the chosen elements' blocks in page order; of faded ones only those of open_, which the main text is in."""
     out: list[str] = []
     line: list[str] = []
 
@@ -137,7 +192,7 @@ def _blocks(node: Node, chosen: set[int]) -> list[str]:
         elif isinstance(x, str):
             if inside:
                 line.append(x)
-        else:
+        elif not x.faded or id(x) in open_:
             inside = inside or id(x) in chosen
             if x.tag in BLOCKS:
                 end()
@@ -153,7 +208,11 @@ def main_text(source: str | None) -> str:
     order = _measure(top)
     if not top.chars:
         return ""
-    best = max(order, key=lambda x: x.sum)  # of equals the outermost
+    bodies = [x for x in order if x.tag == "body"]
+    best = max((x for x in order if x is not top or not bodies), key=lambda x: x.sum)  # of equals the outermost
+    open_ = {id(x) for x in _path(best)}
+    if any(x.faded for x in _path(best)) and max((_longest(x) for x in order if x is best or x.up is best), default=0) < LEAST_PROSE:
+        return ""  # nothing on the page but what is named as boilerplate
     threshold = min(x.density for x in _path(best) if x.tag != "html" or x is best)
     chosen = {id(best)}
     greatest: dict[int, Node] = {}
@@ -163,7 +222,12 @@ def main_text(source: str | None) -> str:
     for x in order:
         if x.density >= threshold and x.chars and x is not top:
             chosen.add(id(greatest[id(x)]))
-    return "\n".join(_blocks(top, chosen))
+    return "\n".join(_blocks(top, chosen, open_))
+
+
+def _longest(node: Node) -> int:
+    """Characters of the element without those in links."""
+    return node.chars - node.link_chars
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
