@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -18,7 +19,7 @@ from lodestack.llm.piece_codec import PieceModel, encode_pieces
 from lodestack.llm.quality import quality_scores, terms
 from lodestack.llm.simhash import allocate, fingerprint, simhash_groups
 from lodestack.llm.suffix_dedup import LoserTree, front_code, remove_repeats
-from lodestack.llm.token_codec import decode_ids, encode_ids, token_digests
+from lodestack.llm.token_codec import decode_ids, encode_ids, read_tokens, token_digests, write_tokens
 from lodestack.llm.toxicity import toxicity_scores
 
 SF = "/root/testdata/sf0.001"
@@ -145,7 +146,7 @@ def test_main_text():
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2048, 2049, 9000):
+    for n in (0, 1, 1024, 1025, 9000):
         ids = np.minimum(rng.zipf(1.3, n), 65_535)
         payloads, checks = encode_ids(ids)
         assert (decode_ids(payloads, checks, n) == ids).all()
@@ -227,3 +228,42 @@ def test_sentencepiece_query_returns_the_ids(spark):
 @pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_queries_run(spark, name):
     assert Q.queries()[name](spark, SF).count() > 0 or name == "op2_decontaminate"
+
+
+def test_token_files_equal_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000, None), (10_001, "")], "doc_id long, text string"))
+    found = read_tokens(write_tokens(d, path, 3)).collect()
+    want = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in d.collect()}
+    assert {r.doc_id: r.ids for r in found} == want
+    start = 0
+    digests = {r.doc_id: r for r in token_digests(d, path).collect()}
+    for k in sorted(want):
+        r = digests[k]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want[k]), zlib.crc32(np.array(want[k], "<u4").tobytes()))
+        start += len(want[k])
+
+
+def test_token_files_with_long_and_null_rows(spark):
+    text = "some words of a long document that reaches over groups " * 300
+    rows = [(None, "a"), (None, "a"), (5, text), (5, "b"), (6, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_digests(table, vocabulary("word_bpe_49k.json")).orderBy("start").collect()
+    spread = read_tokens(write_tokens(table, vocabulary("word_bpe_49k.json"), most=500), True).collect()  # the long text needs several groups
+    assert {(r.n_tokens, r.ids_crc32) for r in spread} == {(r.n_tokens, r.ids_crc32) for r in got} and max(r.n_tokens for r in spread) > 1_000
+    assert [r.doc_id for r in got] == [None, None, 5, 5, 6] and [r.n_tokens for r in got][-1] == 1
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(5)]
+    assert token_digests(spark.createDataFrame([], "doc_id long, text string"), vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_range_coder_mixes_orders():
+    rng = np.random.default_rng(8)
+    ids = np.minimum(rng.zipf(1.5, 40_960), 65_535)
+    _, n = np.unique(ids, return_counts=True)
+    entropy = -(n / n.sum() * np.log2(n / n.sum())).sum() / 8
+    assert sum(map(len, encode_ids(ids)[0])) / len(ids) < 1.2 * entropy  # each block learns anew
+    again = np.tile(rng.integers(0, 49_000, 500), 40)
+    assert sum(map(len, encode_ids(again)[0])) / len(again) < 1.0  # order 0 alone needs 1.12
