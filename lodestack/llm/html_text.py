@@ -170,7 +170,7 @@ def _measure(top: Node) -> list[Node]:
                 held[id(k)] = FADE if k.faded else held[id(x)]
         x.density *= held[id(x)]
     for x in order:
-        x.sum = sum(k.density for k in x.kids if isinstance(k, Node)) + held[id(x)] * sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
+        x.sum = sum(k.density for k in x.kids if isinstance(k, Node) and not k.faded) + held[id(x)] * sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
     return order
 
 

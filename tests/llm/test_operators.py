@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -265,5 +266,81 @@ def test_range_coder_mixes_orders():
     _, n = np.unique(ids, return_counts=True)
     entropy = -(n / n.sum() * np.log2(n / n.sum())).sum() / 8
     assert sum(map(len, encode_ids(ids)[0])) / len(ids) < 1.2 * entropy  # each block learns anew
-    again = np.tile(rng.integers(0, 49_000, 500), 40)
+    again = np.tile(rng.integers(0, 49_000, 500), 200)
     assert sum(map(len, encode_ids(again)[0])) / len(again) < 1.0  # order 0 alone needs 1.12
+
+
+def test_hnsw_walks_large_shards(spark):
+    rng = np.random.default_rng(21)
+    v = np.repeat(rng.normal(size=(500, 24)), 10, 0) + 0.03 * rng.normal(size=(5_000, 24))
+    rows = [(i, x.tolist(), 1, "x") for i, x in enumerate(v.astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep string")
+    got = {r.vec_id: r.n_links for r in embedding_groups(table, shard_rows=2_500).collect()}
+    u = unit(v.astype(np.float32))
+    assert got == {i: int(n) - 1 for i, n in enumerate((u @ u.T >= 0.98).sum(1))}
+    assert embedding_groups(table.limit(0)).count() == 0
+    again = embedding_groups(table.limit(20).unionAll(table.limit(20))).collect()
+    assert len(again) == 40 and all(r.n_links >= 1 for r in again)
+
+
+def test_sentencepiece_keeps_code_point_zero():
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), PieceModel(path)
+    texts = ["\x00", "a\x00b", "\x00\x00 end", "x" * 70_000 + "\x00"]
+    for t, b in zip(texts, model.encode(texts), strict=True):
+        assert np.frombuffer(b, "<u2").tolist() == sp.encode(t) and model.decode(b) == t
+
+
+def test_simhash_fingerprint_by_definition():
+    import xxhash
+
+    def plain(text):
+        words = [w for w in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    for t in ("", "   ", "One", "one TWO", "A b C d e\x0bf\u00a0g ÄÖ", "a b c " * 50, "w" * 9):
+        assert fingerprint(t) & (2**64 - 1) == plain(t)
+
+
+def test_main_text_in_layouts():
+    prose = "Some words of the article that are long enough to be taken for its main text, and some more of them. " * 6
+    article = f"<h1>Head</h1><p>{prose}<p>{prose}"
+    around = "<body><nav><a href=/>menu</a></nav>{}<footer>imprint</footer></body>"
+    rest = "<div class=sidebar><ul><li><a href=x>one</a></ul></div><div class=share><a href=y>tweet</a></div><div id=comments><p>a reader says this</div>"
+    want = f"Head\n{prose.strip()}\n{prose.strip()}"
+    for start in ("div class='layout has-sidebar'", "div id=page class='site no-header'", "div class=content-with-sidebar", "section class=promo-article", "div class='sidebar'", "form id=aspnetForm", "div class='page menu'", "div class=x"):
+        end = start.split()[0]
+        assert main_text(around.format(f"<{start}><div>{article}</div>{rest}</{end}>")) == want, start
+    for head in ("<div class='entry-header'><h1>Head</h1></div>", "<header><h1>Head</h1></header>", "<h1 class=banner>Head</h1>"):
+        assert main_text(around.format(f"<article>{head}<p>{prose}<p>{prose}{rest}</article>")) == want, head
+    assert main_text("<body><nav><a>x</a></nav><div class=menu><a>foo</a> bar</div></body>") == ""
+
+
+def test_decontamination_of_rewritten_copies(spark):
+    item = "Last year Alice Smith and her friend Robert Jones walked 12 km from Port Hill to Old Town in 3 hours before supper was served to all"
+    forms = [item, item.replace(" ", "  "), "\n".join([item[:40], item[40:]]), item.replace(" ", "\r\n"), item.replace(" ", "\u00a0"), item.lower(), item.upper(), f"({item})", item.replace("Alice", "Carol")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = docs(spark, [*(f"so they say: {f} and more" for f in forms), "nothing of the kind is in this text at all"])
+    assert {r.doc_id for r in leaks(rows, bench).collect()} == set(range(len(forms)))
+    mixed = docs(spark, ["x " + item, "other words " * 30]).withColumn("doc_id", F.lit(4).cast("long"))
+    assert [r.doc_id for r in leaks(mixed, bench).collect()] == [4]
+    none = docs(spark, [item]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.doc_id for r in leaks(none, bench).collect()] == [None]
+
+
+def test_suffix_dedup_of_repeated_ids_and_long_texts(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    shared, long = word(300), word(1_200_000)
+    at = 1_048_500  # across the border of two pieces that are hashed at once
+    long = long[:at] + shared + long[at + 300 :]
+    other = word(50) + shared
+    rows = [(1, long), (1, other), (None, "x" * 150), (None, word(400)), (7, "same " * 60), (7, "same " * 60)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in got}
+    assert len(got) == 6 and found == {(1, 1_200_000): (300, 1), (1, 350): (300, 1), (None, 150): (0, 0), (None, 400): (0, 0), (7, 300): (300, 1)}
+    assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
