@@ -24,7 +24,7 @@ FIRST_BEAM = 32
 AUDIT_QUERIES = 64  # scanned at a time
 AUDIT_LINKS = 1_000  # true links that an audit has to meet, so that one in a thousand shows
 AUDIT_RECALL = 0.999
-SCAN_FROM = 16
+SCAN_FROM = 16  # a beam of more than one in so many vectors is not walked any more: the shard is scanned
 SLACK = 1e-4  # single precision may be off by less
 
 
@@ -154,17 +154,22 @@ def _verified(index: np.ndarray, queries: np.ndarray, r: np.ndarray, c: np.ndarr
     return r[good], c[good]
 
 
+def _wider(beam: int, rows: int) -> int:
+    """The next beam; in the end one for all rows, which is a scan."""
+    return 2 * beam if 2 * beam * SCAN_FROM < rows else rows
+
+
 def _walk(low: np.ndarray, levels: list[np.ndarray], q32: np.ndarray, todo: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(query rows, index rows) of the pairs that a search with this beam meets, single precision; a beam that holds nothing but links is widened."""
     rows: list[np.ndarray] = [np.zeros(0, int)]
     cols: list[np.ndarray] = [np.zeros(0, int)]
-    wide = min(beam, len(low))
+    wide = beam
     while len(todo):
         again = []
         step = max(16, 8_000_000 // (len(low) + wide * 16))
         for i in range(0, len(todo), step):
             part = todo[i : i + step]
-            if wide * SCAN_FROM >= len(low):  # a walk with so wide a beam meets most of the shard
+            if wide >= len(low):
                 r, c = np.nonzero(q32[part] @ low.T >= least - SLACK)
                 rows.append(part[r])
                 cols.append(c)
@@ -176,7 +181,7 @@ def _walk(low: np.ndarray, levels: list[np.ndarray], q32: np.ndarray, todo: np.n
             rows.append(part[r])
             cols.append(ids[r, c])
         todo = np.concatenate(again) if again else np.zeros(0, int)
-        wide = min(2 * wide, len(low))
+        wide = _wider(wide, len(low))
     return np.concatenate(rows), np.concatenate(cols)
 
 
@@ -201,9 +206,9 @@ def range_search(index: np.ndarray, levels: list[np.ndarray], queries: np.ndarra
         while True:
             r, c = _verified(index, queries, *_walk(low, levels, q32, order[:at], beam, least), least)
             recall = (len(r) - own(r, c)) / links
-            if recall >= AUDIT_RECALL or beam * SCAN_FROM >= len(index):
+            if recall >= AUDIT_RECALL or beam >= len(index):
                 break
-            beam *= 2
+            beam = _wider(beam, len(index))
         known.append(_verified(index, queries, *_walk(low, levels, q32, rest, beam, least), least))
     return np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known]), recall
 
