@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions import safety
 from lodestack.functions import score as S
 from lodestack.functions import text as T
 from lodestack.operators import chunking, graph, retrieval
@@ -338,9 +339,17 @@ def ngram_search(spark, sf):
     return retrieval.ngram_search(table(spark, sf, "conversations"), ["tion", "wher"])
 
 
-@query("SELECT doc_id, " + "".join("regexp_replace(" for _ in T.SECRETS) + "text" + "".join(f", '{p}', '[{k}]', 'g')" for k, p in T.SECRETS.items()) + " AS clean FROM documents")
+@query(r"""WITH
+a AS (SELECT doc_id, regexp_replace(text, '(?is)-----BEGIN(?: (?:[A-Z]+|OPENSSH))? PRIVATE KEY-----.*?-----END(?: [A-Z]+)? PRIVATE KEY-----', '[REDACTED_PRIVATE_KEY]', 'g') AS x FROM documents),
+b AS (SELECT doc_id, regexp_replace(x, '(?is)-----BEGIN PGP PRIVATE KEY BLOCK-----.*?-----END PGP PRIVATE KEY BLOCK-----', '[REDACTED_PRIVATE_KEY]', 'g') AS x FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{8,}', '\1[REDACTED]', 'g'), '(?i)(api[_-]?key\s*[=:\s]\s*["'']?)[^\s"'']+', '\1[REDACTED]', 'g') AS x FROM b),
+d AS (SELECT doc_id, regexp_replace(x, '(?i)\b(?:token|access[_-]?token|refresh[_-]?token|client[_-]?secret|password|secret)\b\s*[=:\s]\s*["'']?[^\s"''&]+', '[REDACTED]', 'g') AS x FROM c),
+e AS (SELECT doc_id, regexp_replace(x, '\bsk-[A-Za-z0-9]{20,}\b|\bgh[pousr]_[A-Za-z0-9_]{20,}\b|\bA(?:KIA|SIA)[0-9A-Z]{16}\b|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9._-]{8,}\.[A-Za-z0-9._-]{8,}\b', '[REDACTED]', 'g') AS x FROM d),
+f AS (SELECT doc_id, regexp_replace(x, '(?i)\b(?:access_token|refresh_token|id_token|authorization_code|code_verifier|code_challenge)\b\s*[=:\s]\s*["'']?[^\s"''&]+', '[REDACTED]', 'g') AS x FROM e)
+SELECT doc_id, regexp_replace(x, '\bAIza[0-9A-Za-z_-]{35}\b|\bsk-ant-[A-Za-z0-9_-]{16,}\b|\bsk-(?:proj|org)-[A-Za-z0-9_-]{12,}\b|\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b|\bxox[abpsr]-[A-Za-z0-9-]{10,}\b|\bgithub_pat_[A-Za-z0-9_]{20,}\b|\bglpat-[A-Za-z0-9_-]{16,}\b|\bnpm_[A-Za-z0-9]{20,}\b|\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\b', '[REDACTED]', 'g') AS clean FROM f""")
 def secret_redact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.redacted(F.col("text")).alias("clean"))
+    """Whole key blocks and credentials replaced."""
+    return table(spark, sf, "documents").select("doc_id", safety.secrets_redacted(F.col("text")).alias("clean"))
 
 
 @query()

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from lodestack.plans import memory  # noqa: F401
 from lodestack.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
