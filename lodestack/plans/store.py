@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import names as N
 from lodestack.functions import score as S
-from lodestack.operators import aliases
+from lodestack.operators import aliases, trees
 from lodestack.plans.catalogue import query
 from lodestack.sources.adapters import table
 from lodestack.sources.engine import LINKS, MEM, SUMS, memory_chunks, summaries, tree_links
@@ -309,3 +309,104 @@ def lifecycle_after(spark, sf):
     c = memory_chunks(spark, sf).where("lang <> 'de'")
     status = F.when(F.col("source_id").startswith("src1:"), "dropped").when(F.col("doc_id") % 10 == 2, "sealed").otherwise(F.col("status"))
     return c.select("id", status.alias("status"))
+
+
+@query("""WITH t AS (SELECT 'chunk' AS kind, doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'm@64' ELSE 'n@32' END AS signature FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'summary', vec_id, CASE WHEN vec_id % 3 = 0 THEN 'm@64' ELSE 'n@32' END FROM embeddings WHERE vec_id % 5 = 0)
+SELECT kind, id, signature FROM t WHERE signature <> 'm@64'""")
+def tombstones_cleared(spark, sf):
+    """Skip marks of chunks and summaries that are left after those of one signature are cleared."""
+
+    def marks(name, key, kind, every, of):
+        s = F.when(F.col(key) % of == 0, "m@64").otherwise("n@32")
+        return table(spark, sf, name).where(F.col(key) % every == 0).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), s.alias("signature"))
+
+    return marks("documents", "doc_id", "chunk", 7, 2).unionAll(marks("embeddings", "vec_id", "summary", 5, 3)).where("signature <> 'm@64'")
+
+
+@query(f"WITH {SUMS} SELECT id, level, n_children, 'old' AS made FROM sums WHERE deleted UNION ALL SELECT id, level, n_children, 'new' FROM sums WHERE NOT deleted")
+def summaries_inserted(spark, sf):
+    """Insert or ignore: summaries that are there stay as they are."""
+    s = summaries(spark, sf).select("id", "level", "n_children", "deleted")
+    have, new = s.where("deleted").drop("deleted").withColumn("made", F.lit("old")), s.drop("deleted").withColumn("made", F.lit("new"))
+    return have.unionAll(new.join(have.select("id"), "id", "left_anti").select(have.columns))
+
+
+@query("SELECT DISTINCT 'tool-' || lower(event_type) AS namespace, lower(event_type) AS tool FROM events WHERE event_id % 2 = 0 ORDER BY tool")
+def tool_namespaces(spark, sf):
+    """Tools that have a namespace of rules; other namespaces are left out."""
+    n = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("tool-"), F.lower("event_type"))).otherwise(F.col("event_type"))
+    found = table(spark, sf, "events").select(n.alias("namespace")).where("namespace like 'tool-%'").distinct()
+    return found.select("namespace", F.substr("namespace", F.lit(6)).alias("tool")).orderBy("tool")
+
+
+@query("""WITH v AS (SELECT source || '/' || (doc_id // 3) AS id, doc_id % 3 AS version FROM documents), g AS (SELECT id, max(version) AS version FROM v WHERE version < 2 GROUP BY 1)
+SELECT v.id || '@' || v.version AS gate, g.version IS NOT NULL AND v.version <= g.version AS ingested FROM v LEFT JOIN g USING (id)""")
+def version_gates(spark, sf):
+    """Whether a document's version was taken in already; a later one passes the gate."""
+    d = table(spark, sf, "documents")
+    v = d.select(F.concat("source", F.lit("/"), F.expr("doc_id div 3")).alias("id"), (F.col("doc_id") % 3).alias("version"))
+    g = v.where("version < 2").groupBy("id").agg(F.max("version").alias("done"))
+    return v.join(g, "id", "left").select(F.concat("id", F.lit("@"), "version").alias("gate"), F.coalesce(F.col("version") <= F.col("done"), F.lit(False)).alias("ingested"))
+
+
+@query(f"""WITH {MEM}, r AS (SELECT scope, token_count, coalesce(sum(token_count) OVER (PARTITION BY scope ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS batch FROM mem WHERE status IN ('admitted', 'pending_extraction'))
+SELECT scope, batch::BIGINT AS batch, count(*) AS n, sum(token_count)::BIGINT AS tokens FROM r GROUP BY 1, 2""")
+def pending_batches(spark, sf):
+    """Chunks that wait, in batches by budget and in order."""
+    c = memory_chunks(spark, sf).where("status in ('admitted', 'pending_extraction')").select("scope", "doc_id", "token_count")
+    b = trees.running_batches(c, "scope", "doc_id", "token_count", 2000)
+    return b.groupBy("scope", F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+
+
+@query(f"WITH {MEM} SELECT scope, count(*) AS flushed, max(timestamp_ms) AS newest_ms FROM mem WHERE status = 'buffered' AND scope NOT IN ('src0', 'src2') GROUP BY 1")
+def forced_flush(spark, sf):
+    """Buffers of live trees sealed whatever they hold; archived trees take nothing."""
+    archived = spark.createDataFrame([("src0",), ("src2",)], "scope string")
+    b = memory_chunks(spark, sf).where("status = 'buffered'").join(F.broadcast(archived), "scope", "left_anti")
+    return b.groupBy("scope").agg(F.count("*").alias("flushed"), F.max("timestamp_ms").alias("newest_ms"))
+
+
+@query("SELECT l_orderkey AS node, 'organization:' || l_suppkey AS entity, max(l_quantity) AS score FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2 ORDER BY node, score DESC, entity")
+def entities_of_node(spark, sf):
+    """Distinct entities of each node, the best score first."""
+    li = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    return li.groupBy(F.col("l_orderkey").alias("node"), F.concat(F.lit("organization:"), "l_suppkey").alias("entity")).agg(F.max("l_quantity").alias("score")).orderBy("node", F.desc("score"), "entity")
+
+
+@query("SELECT l_suppkey AS entity, list_sort(list(DISTINCT tree)) AS trees FROM (SELECT l_suppkey, nullif(l_returnflag, 'N') AS tree FROM lineitem) WHERE tree IS NOT NULL GROUP BY 1")
+def trees_of_entity(spark, sf):
+    """The trees that mention an entity; rows without a tree are left out."""
+    tree = F.nullif("l_returnflag", F.lit("N"))
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), tree.alias("tree")).where("tree is not null")
+    return li.groupBy("entity").agg(F.array_sort(F.collect_set("tree")).alias("trees"))
+
+
+@query("""WITH o AS (SELECT o_custkey % 10 AS source, o_orderkey AS item, o_totalprice AS content FROM orders WHERE o_orderkey % 4 <> 0), n AS (SELECT o_custkey % 10 AS source, o_orderkey AS item, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_totalprice END AS content FROM orders WHERE o_orderkey % 6 <> 0),
+d AS (SELECT source, count(*) FILTER (o.item IS NULL) AS added, count(*) FILTER (n.item IS NULL) AS removed, count(*) FILTER (o.content <> n.content) AS modified FROM o FULL JOIN n USING (source, item) GROUP BY source)
+SELECT count(*) AS sources, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed, sum(modified)::BIGINT AS modified FROM d""")
+def diff_totals(spark, sf):
+    """Changes of all sources together, from a summary of each."""
+    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("source"), F.col("o_orderkey").alias("item"), F.col("o_totalprice").alias("content"))
+    old = rows.where("item % 4 <> 0").withColumnRenamed("content", "was")
+    new = rows.where("item % 6 <> 0").withColumn("now", F.when(F.col("item") % 5 == 0, 0.0).otherwise(F.col("content"))).drop("content")
+    both = old.join(new, ["source", "item"], "full")
+    each = both.groupBy("source").agg(F.count_if(F.col("was").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("removed"), F.count_if(F.col("was") != F.col("now")).alias("modified"))
+    return each.agg(F.count("*").alias("sources"), *[F.sum(c).alias(c) for c in ("added", "removed", "modified")])
+
+
+@query("SELECT user_id, max(epoch_us(ts) // 1000) FILTER (event_type <> 'error') AS last_success_ms, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1")
+def latest_success(spark, sf):
+    at, failed = F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_type") == "error"
+    return table(spark, sf, "events").groupBy("user_id").agg(F.max(F.when(~failed, at)).alias("last_success_ms"), F.count_if(failed).alias("failures"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id END AS said, CASE event_id % 2 WHEN 0 THEN ['x', 'y'] ELSE ['z'] END AS items FROM events")
+def json_first(spark, sf):
+    """The first string, and the first array, among several paths of a JSON value."""
+    e = F.col("event_id")
+    said = F.when(e % 3 == 0, F.concat(F.lit('"name":"a'), e, F.lit('",'))).when(e % 3 == 1, F.concat(F.lit('"name":"","data":{"title":"b'), e, F.lit('"},'))).otherwise("")
+    items = F.when(e % 2 == 0, F.lit('"items":["x","y"]')).otherwise(F.lit('"items":null,"results":["z"]'))
+    value = F.concat(F.lit("{"), said, items, F.lit("}"))
+    found = F.coalesce(*[F.nullif(F.get_json_object(value, p), F.lit("")) for p in ("$.name", "$.data.title")])
+    listed = F.coalesce(*[F.from_json(F.get_json_object(value, p), "array<string>") for p in ("$.items", "$.results")])
+    return table(spark, sf, "events").select("event_id", found.alias("said"), listed.alias("items"))
