@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.sources.staging import staged
+
 
 def edges(occurrences: DataFrame) -> DataFrame:
     """(a, b, weight, updated_ms) with a < b; weight counts distinct nodes that hold both."""
-    o = occurrences.select("entity", "node", "ts_ms").distinct()
+    o = occurrences.groupBy("entity", "node").agg(F.max("ts_ms").alias("ts_ms"))
     other = o.select(F.col("entity").alias("b"), "node", F.col("ts_ms").alias("ts_b"))
     pairs = o.withColumnRenamed("entity", "a").join(other, "node").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.countDistinct("node").alias("weight"), F.max(F.greatest("ts_ms", "ts_b")).alias("updated_ms"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight"), F.max(F.greatest("ts_ms", "ts_b")).alias("updated_ms"))
 
 
 def both_ways(edge_rows: DataFrame) -> DataFrame:
@@ -25,14 +27,30 @@ def co_occurring(occurrences: DataFrame, entity: str, limit: int) -> DataFrame:
 
 
 def bfs_pairs(edge_rows: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
-    """(a, b, distance) of target pairs at most hops apart; nodes between may be any. One join a hop, only new nodes go on."""
-    links = both_ways(edge_rows).select(F.col("entity").alias("at"), F.col("neighbor").alias("next")).distinct()
-    front = targets.select(F.col("entity").alias("start"), F.col("entity").alias("at"))
+    """(a, b, distance) of target pairs at most hops apart; nodes between may be any. One join a hop, only new nodes go on. edge_rows: (a, b) and more."""
+    ends = edge_rows.select("a", "b")
+    links = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("at"), F.col("b").alias("next")).distinct()
+    return _pairs_within(targets, hops, lambda front: front.join(links, "at").select("start", F.col("next").alias("at")))
+
+
+def shared_node_pairs(occurrences: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
+    """The same where entities are linked by nodes that hold both: each hop goes through the nodes, so no node's pairs are listed."""
+    held = occurrences.select("entity", "node").distinct()
+
+    def step(front: DataFrame) -> DataFrame:
+        nodes = front.join(held.withColumnRenamed("entity", "at"), "at").select("start", "node").distinct()
+        return nodes.join(held, "node").select("start", F.col("entity").alias("at"))
+
+    return _pairs_within(targets, hops, step)
+
+
+def _pairs_within(targets: DataFrame, hops: int, step) -> DataFrame:
+    front = targets.select(F.col("entity").alias("start"), F.col("entity").alias("at")).distinct()
     seen = front.withColumn("distance", F.lit(0))
     for hop in range(1, min(hops, 4) + 1):
-        front = front.join(links, "at").select("start", F.col("next").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
-        seen = seen.unionAll(front.withColumn("distance", F.lit(hop)))
-    ends = targets.select(F.col("entity").alias("at"))
+        front = staged(step(front).distinct().join(seen, ["start", "at"], "left_anti"), "front")
+        seen = seen.unionByName(front.withColumn("distance", F.lit(hop)))
+    ends = targets.select(F.col("entity").alias("at")).distinct()
     return seen.join(ends, "at", "left_semi").where("start < at").select(F.col("start").alias("a"), F.col("at").alias("b"), "distance")
 
 

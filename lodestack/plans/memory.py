@@ -286,9 +286,10 @@ def leaves_in_order(spark, sf):
     return memory_chunks(spark, sf).join(F.broadcast(asked), "id").select("pos", "id", "token_count")
 
 
-@query(f"""WITH {MEM}, run AS (SELECT scope, doc_id, token_count, timestamp_ms, coalesce(sum(token_count) OVER (PARTITION BY scope ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 5000 AS batch FROM mem WHERE status <> 'dropped'),
-one AS (SELECT scope AS tree, 1 AS level, batch AS node, count(*) AS n_items, sum(token_count) AS tokens, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms, max(batch) OVER (PARTITION BY scope) AS last FROM run GROUP BY scope, batch),
-l1 AS (SELECT tree, level, node, n_items, tokens, start_ms, end_ms FROM one WHERE node < last OR tokens >= 5000),
+@query(f"""WITH RECURSIVE {MEM}, leaf AS MATERIALIZED (SELECT scope, token_count, timestamp_ms, row_number() OVER (PARTITION BY scope ORDER BY doc_id) AS k FROM mem WHERE status <> 'dropped'),
+run AS (SELECT scope, k, token_count, timestamp_ms, token_count AS acc, 0 AS batch FROM leaf WHERE k = 1 UNION ALL
+  SELECT l.scope, l.k, l.token_count, l.timestamp_ms, CASE WHEN r.acc >= 5000 THEN 0 ELSE r.acc END + l.token_count, r.batch + (r.acc >= 5000)::INT FROM run r JOIN leaf l ON l.scope = r.scope AND l.k = r.k + 1),
+l1 AS (SELECT scope AS tree, 1 AS level, batch AS node, count(*) AS n_items, sum(token_count) AS tokens, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms FROM run GROUP BY scope, batch HAVING sum(token_count) >= 5000),
 l2 AS (SELECT tree, 2 AS level, node // 4 AS node, count(*) AS n_items, sum(tokens) AS tokens, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM l1 GROUP BY tree, node // 4 HAVING count(*) >= 4),
 l3 AS (SELECT tree, 3 AS level, node // 4 AS node, count(*) AS n_items, sum(tokens) AS tokens, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM l2 GROUP BY tree, node // 4 HAVING count(*) >= 4),
 l4 AS (SELECT tree, 4 AS level, node // 4 AS node, count(*) AS n_items, sum(tokens) AS tokens, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM l3 GROUP BY tree, node // 4 HAVING count(*) >= 4),
@@ -296,7 +297,7 @@ l5 AS (SELECT tree, 5 AS level, node // 4 AS node, count(*) AS n_items, sum(toke
 l6 AS (SELECT tree, 6 AS level, node // 4 AS node, count(*) AS n_items, sum(tokens) AS tokens, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM l5 GROUP BY tree, node // 4 HAVING count(*) >= 4)
 SELECT tree, level, node::BIGINT AS node, n_items, tokens::BIGINT AS tokens, start_ms, end_ms FROM (FROM l1 UNION ALL FROM l2 UNION ALL FROM l3 UNION ALL FROM l4 UNION ALL FROM l5 UNION ALL FROM l6)""")
 def seal_cascade(spark, sf):
-    """Levels sealed one after the other: batches of 5,000 tokens, then of four nodes."""
+    """Levels sealed one after the other: buffers that reach 5,000 tokens, then four nodes each."""
     c = _leaves(spark, sf).select(F.col("scope").alias("tree"), F.col("doc_id").alias("seq"), F.col("token_count").alias("tokens"), F.col("timestamp_ms").alias("at_ms"))
     return trees.seal_cascade(c, fan_in=4, tokens=5_000)
 

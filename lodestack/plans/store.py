@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import names as N
 from lodestack.functions import score as S
-from lodestack.operators import aliases, trees
+from lodestack.operators import aliases, batches
 from lodestack.plans.catalogue import query
 from lodestack.sources.adapters import table
 from lodestack.sources.engine import LINKS, MEM, SUMS, memory_chunks, summaries, tree_links
@@ -349,13 +349,16 @@ def version_gates(spark, sf):
     return v.join(g, "id", "left").select(F.concat("id", F.lit("@"), "version").alias("gate"), F.coalesce(F.col("version") <= F.col("done"), F.lit(False)).alias("ingested"))
 
 
-@query(f"""WITH {MEM}, r AS (SELECT scope, token_count, coalesce(sum(token_count) OVER (PARTITION BY scope ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS batch FROM mem WHERE status IN ('admitted', 'pending_extraction'))
-SELECT scope, batch::BIGINT AS batch, count(*) AS n, sum(token_count)::BIGINT AS tokens FROM r GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {MEM}, w AS MATERIALIZED (SELECT scope, token_count, row_number() OVER (PARTITION BY scope ORDER BY doc_id) AS k FROM mem WHERE status IN ('admitted', 'pending_extraction')),
+r AS (SELECT scope, k, token_count, token_count AS acc, 1 AS items, 0::BIGINT AS batch FROM w WHERE k = 1 UNION ALL
+  SELECT w.scope, w.k, w.token_count, CASE WHEN r.acc + w.token_count > 2000 OR r.items >= 32 THEN 0 ELSE r.acc END + w.token_count, CASE WHEN r.acc + w.token_count > 2000 OR r.items >= 32 THEN 0 ELSE r.items END + 1,
+    r.batch + (r.acc + w.token_count > 2000 OR r.items >= 32)::INT FROM r JOIN w ON w.scope = r.scope AND w.k = r.k + 1)
+SELECT scope, batch, count(*) AS n, sum(token_count)::BIGINT AS tokens FROM r GROUP BY 1, 2""")
 def pending_batches(spark, sf):
-    """Chunks that wait, in batches by budget and in order."""
+    """Chunks that wait, in order, in batches within a budget of 2,000 tokens and 32 chunks; a larger chunk is one alone."""
     c = memory_chunks(spark, sf).where("status in ('admitted', 'pending_extraction')").select("scope", "doc_id", "token_count")
-    b = trees.running_batches(c, "scope", "doc_id", "token_count", 2000)
-    return b.groupBy("scope", F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+    b = batches.restarting(c, "scope", ["doc_id"], "token_count", 2000, most_items=32)
+    return b.groupBy("scope", "batch").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
 
 
 @query(f"WITH {MEM} SELECT scope, count(*) AS flushed, max(timestamp_ms) AS newest_ms FROM mem WHERE status = 'buffered' AND scope NOT IN ('src0', 'src2') GROUP BY 1")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestack-')}"
+from lodestack.sources.staging import shared_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +17,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(hour, event_type, n): each micro-batch adds its partial counts; what was written is summed when it is read."""
-    place = f"{shared_dir(spark).rstrip('/')}/buffers-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/buffers-{uuid.uuid4().hex}"
 
     def add(batch: DataFrame, epoch: int) -> None:
         # named by batch, so that a batch that is run again replaces what it wrote
