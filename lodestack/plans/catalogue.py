@@ -304,7 +304,7 @@ def mmr(spark, sf):
 
 
 @query(r"""SELECT doc_id, (length(text) + 3) // 4 AS by_chars, (strlen(text) + 3) // 4 AS by_bytes,
-  (2 * length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) + length(regexp_replace(text, '[^ \t\n\r\f\v]', '', 'g')) + 4 * length(regexp_replace(text, '[A-Za-z0-9 \t\n\r\f\v]', '', 'g')) + 3) // 4 AS conservative FROM documents""")
+  (2 * length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) + length(regexp_replace(text, '[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')) + 4 * length(regexp_replace(text, '[A-Za-z0-9\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')) + 3) // 4 AS conservative FROM documents""")
 def token_estimates(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", T.chars_tokens(t).alias("by_chars"), T.bytes_tokens(t).alias("by_bytes"), T.conservative_tokens(t).alias("conservative"))
@@ -319,6 +319,7 @@ def slug_and_ids(spark, sf):
 
 @query()
 def chunk_documents(spark, sf):
+    """Documents in chunks of at most 1,000 tokens by an upper estimate, cut as coarsely as that allows, with whole segments repeated."""
     return chunking.chunk_documents(table(spark, sf, "documents"), tokens=1000)
 
 
@@ -334,6 +335,18 @@ def chunk_chat(spark, sf):
     return md.select("conv_id", F.size(chunking.chat_turns(F.col("md"))).alias("n_chunks"), F.lit(0).cast("long").alias("dropped"))
 
 
+@query("""WITH r AS (SELECT conv_id, string_split('Thread' || chr(10) || string_agg('---' || chr(10) || 'From: ' || role || chr(10) || chr(10) || text || chr(10), '' ORDER BY turn), chr(10) || '---' || chr(10) || 'From: ') AS p FROM conversations GROUP BY 1)
+SELECT conv_id, unnest(range(len(p) - 1))::INT AS seq, unnest(list_transform(p[2:], lambda x: sha256(rtrim('---' || chr(10) || 'From: ' || x, ' ' || chr(9) || chr(10) || chr(13))))) AS content_sha256 FROM r""")
+def chunk_mails(spark, sf):
+    """Conversations rendered as mail threads and cut into their mails again."""
+    c = table(spark, sf, "conversations")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    mail = lambda t: F.concat(F.lit("---\nFrom: "), t["role"], F.lit("\n\n"), t["text"], F.lit("\n"))
+    threads = c.groupBy("conv_id").agg(F.concat(F.lit("Thread\n"), F.array_join(F.transform(turns, mail), "")).alias("text"))
+    units = chunking.chunk_units(threads, "email", tokens=1_000_000, source_col="conv_id")
+    return units.select(F.col("source_id").alias("conv_id"), "seq", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+
+
 @query("SELECT conv_id, turn, round(1.0, 6) AS score FROM conversations WHERE contains(lower(text), 'tion') AND contains(lower(text), 'wher')")
 def ngram_search(spark, sf):
     """Postings of the terms' trigrams are intersected; what is left is verified on the text."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import score as S
 from lodestack.functions import text as T
-from lodestack.operators import chunking, graph, retrieval
+from lodestack.operators import graph, retrieval
 
 
 def one(spark, column, **values):
@@ -53,22 +53,3 @@ def test_bfs_hops(spark):
     targets = spark.createDataFrame([("a",), ("c",)], "entity string")
     assert graph.bfs_pairs(edges, targets, 1).count() == 0
     assert [tuple(r) for r in graph.bfs_pairs(edges, targets, 2).collect()] == [("a", "c", 2)]
-
-
-def test_pieces_are_lossless():
-    text = "One two. Three four!\nFive six seven. " * 40 + "x" * 500
-    parts = chunking.pieces(text, 60)
-    assert "".join(parts) == text and max(map(len, parts)) <= 60
-
-
-def test_chunk_overlap(spark):
-    docs = spark.createDataFrame([(1, "Word one. " * 100), (2, None)], "doc_id long, text string")
-    rows = chunking.chunk_documents(docs, tokens=50).orderBy("doc_id", "seq").collect()
-    assert "".join(r.content[r.overlap_chars :] for r in rows if r.doc_id == 1) == "Word one. " * 100
-    assert [r.content for r in rows if r.doc_id == 2] == [""]
-
-
-def test_diff_and_upsert(spark):
-    old, new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string"), spark.createDataFrame([(2, "b"), (3, "x"), (4, "d")], "k int, v string")
-    assert {r.k: r.change for r in retrieval.diff(old, new, "k", "v").collect()} == {1: "removed", 2: "unchanged", 3: "modified", 4: "added"}
-    assert {r.k: r.v for r in retrieval.upsert(old, new, "k").collect()} == {1: "a", 2: "b", 3: "x", 4: "d"}
