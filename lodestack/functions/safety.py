@@ -43,13 +43,41 @@ VERHOEFF_STEP = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
 NINO_BAD = ["BG", "GB", "NK", "KN", "TN", "NT", "ZZ"]
 
 
+#: What a text must hold for one of TOKENS to be in it, in their order; hints without capitals are looked for in the text in lower case.
+TOKEN_HINTS = [
+    ["bearer"], ["api_key", "api-key", "apikey"], ["token", "secret", "password"], ["sk-"], ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ["AKIA"], ["ASIA"], ["eyJ"],
+    ["_token", "authorization_code", "code_verifier", "code_challenge"], ["AIza"], ["sk-ant-"], ["sk-proj-", "sk-org-"], ["k_live_", "k_test_"], ["xox"], ["github_pat_"], ["glpat-"], ["npm_"], ["SG."],
+]
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _hinted(text: Column, low: Column, hints: list[str]) -> Column:
+    found = F.lit(False)
+    for h in hints:
+        found = found | F.contains(low if h == h.lower() else text, F.lit(h))
+    return found
+
+
+def _rewriting(hint: Column, pattern: str, to: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(hint, F.regexp_replace(t, pattern, to)).otherwise(t)
+
+
 def secrets_redacted(text: Column) -> Column:
-    """Key blocks, then credentials, replaced; null stays null."""
-    for pattern in KEY_BLOCKS:
-        text = F.regexp_replace(text, pattern, KEY_MARK)
-    for pattern, kept in TOKENS:
-        text = F.regexp_replace(text, pattern, kept + TOKEN_MARK)
-    return text
+    """Key blocks, then credentials, replaced; null stays null. A pattern runs over a text only if that has a hint of it."""
+
+    def cleaned(low: Column) -> Column:
+        out = text
+        for pattern in KEY_BLOCKS:
+            out = _once(out, _rewriting(_hinted(text, low, ["private key"]), pattern, KEY_MARK))
+        for (pattern, kept), hints in zip(TOKENS, TOKEN_HINTS, strict=True):
+            out = _once(out, _rewriting(_hinted(text, low, hints), pattern, kept + TOKEN_MARK))
+        return out
+
+    return _once(F.lower(text), lambda low: F.when(_hinted(text, low, ["private key", *(h for hints in TOKEN_HINTS for h in hints)]), cleaned(low)).otherwise(text))
 
 
 def has_secret(text: Column) -> Column:
@@ -177,26 +205,67 @@ def folded(text: Column) -> Column:
     return F.translate(text, WIDE + EASTERN + ZERO_WIDTH, "0123456789.-/:" + "0123456789" * 2)
 
 
-def _replaced(text: Column, pattern: str, mark: str, valid: Callable[[Column], Column] | None, group: int) -> Column:
-    """text with the mark for each match that is valid; of a match with a group only that goes."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})"), F.lit(1))
-    kernel = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
-    marked = (lambda m: F.concat(F.regexp_replace(m, r"\d{12}$", ""), F.lit(mark))) if group else (lambda m: F.lit(mark))
-    out = F.transform(found, lambda m: F.when(valid(kernel(m)), marked(m)).otherwise(m)) if valid else F.transform(found, marked)
-    return F.when(F.size(found) > 0, F.array_join(F.zip_with(pieces, out, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")).otherwise(text)
+#: No personal data is in a folded text without one of these: six digits with little between them, the letters and digits of a tax number, the beginning of an account number.
+PII_HINT = r"[0-9](?:[\s.\-/()]{0,3}[0-9]){5}|[A-Za-z]{5}[0-9]{4}[A-Za-z]|[A-Z]{2}[0-9]{2}\s?[A-Z0-9]"
+SPANS = "array<struct<start:int,end:int,mark:string>>"
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once however often f names it."""
-    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+def _spans(view: Column, name: str, pattern: str, valid: Callable[[Column], Column] | None, group: int) -> Column:
+    """(start, end, mark) of the valid matches of a class; of a match with a group only its last twelve digits."""
+    found = F.regexp_extract_all(view, F.lit(f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})"), F.lit(1))
+
+    def placed(matches: Column) -> Column:
+        between = F.transform(F.split(view, pattern, -1), F.length)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("made"))
+
+        def step(s: Column, x: Column) -> Column:
+            begin = s["at"] + x["gap"]
+            end = begin + x["size"]
+            return F.struct(end.alias("at"), F.array_append(s["made"], F.struct((end - 12 if group else begin).alias("start"), end.alias("end"))).alias("made"))
+
+        pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), F.transform(matches, F.length), lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")))
+        return F.aggregate(pairs, start, step, lambda s: s["made"])
+
+    def kept(matches: Column) -> Column:
+        all_ = F.zip_with(placed(matches), matches, lambda p, m: F.struct(p["start"].alias("start"), p["end"].alias("end"), m.alias("m")))
+        if valid:
+            all_ = F.filter(all_, lambda x: valid(F.right(x["m"], F.lit(12)) if group else x["m"]))
+        return F.transform(all_, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[REDACTED_PII_{name}]").alias("mark")))
+
+    return _once(found, lambda m: F.when(F.size(m) > 0, kept(m)).otherwise(F.array().cast(SPANS)))
+
+
+def pii_spans(view: Column) -> Column:
+    """(start, end, mark) of personal data in a folded text, by place; of two that overlap the class that comes first in PII stays, then the earlier one."""
+    every = F.concat(*[_spans(view, name, pattern, valid, group) for name, pattern, valid, _, group in PII])
+    free = lambda kept, x: ~F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    chosen = F.aggregate(every, F.array().cast(SPANS), lambda kept, x: F.when(free(kept, x), F.array_append(kept, x)).otherwise(kept))
+    return F.array_sort(chosen)
+
+
+def _original(text: Column, spans: Column) -> Column:
+    """The spans' places in the text itself, that holds zero-width characters besides what its folded form holds: from a match's first character to its last."""
+    runs = F.transform(F.split(text, f"[{ZERO_WIDTH}]", -1), F.length)
+    ends = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("made")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["made"], s["at"] + n).alias("made")), lambda s: s["made"])
+
+    def moved(gaps: Column) -> Column:  # gaps: folded places before which a zero-width character stands
+        place = lambda k: k + F.size(F.filter(gaps, lambda g: g <= k))
+        return F.transform(spans, lambda x: F.struct(place(x["start"]).alias("start"), (place(x["end"] - 1) + 1).alias("end"), x["mark"].alias("mark")))
+
+    return F.when(text.rlike(f"[{ZERO_WIDTH}]"), _once(ends, lambda e: moved(F.slice(e, F.lit(1), F.size(e) - 1)))).otherwise(spans)
+
+
+def spans_replaced(text: Column, spans: Column) -> Column:
+    """text with each span's mark in its place; spans by place, without overlaps. All else stays as it is."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("made"))
+    step = lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["made"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), x["mark"])).alias("made"))
+    return F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["made"], ""), F.substring(text, s["at"] + 1, F.length(text))))
 
 
 def pii_redacted(text: Column) -> Column:
-    """Personal data replaced by [REDACTED_PII_<class>], class by class in order of priority; only texts with a match change, and these are folded."""
-    out = folded(text)
-    for name, pattern, valid, _, group in PII:
-        out = _once(out, lambda t, p=pattern, m=f"[REDACTED_PII_{name}]", v=valid, g=group: _replaced(t, p, m, v, g))
-    return _once(out, lambda t: F.when(t == folded(text), text).otherwise(t))
+    """Personal data replaced by [REDACTED_PII_<class>]; what is outside of it stays as it is, wide digits and zero-width characters too. Matches are looked for in the folded text, and only where that has a hint of any; null stays null."""
+    replaced = lambda t, spans: F.when(F.size(spans) > 0, spans_replaced(t, _original(t, spans))).otherwise(t)
+    return _once(folded(text), lambda view: F.when(view.rlike(PII_HINT), _once(pii_spans(view), lambda spans: replaced(text, spans))).otherwise(text))
 
 
 def has_pii(text: Column) -> Column:
