@@ -4,6 +4,7 @@ For every element: characters, tags, link characters and link tags below it give
 an element's sum adds those of its children. The element with the greatest sum is the main text; the least density on
 its path from body is the threshold for others, each of which adds its own subtree with the greatest sum. A class or id
 that names boilerplate lowers an element's density, and leaves it out unless the main text is found in it all the same.
+Siblings of the main text in an article's own element, and sections beside it that hold sentences, go with it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,19 +32,27 @@ CLOSES = {name: [tag for tag, by in CLOSED_BY.items() if name in by] for name in
 FENCES = {"article", "section", "div", "table", "td", "ul", "ol", "dl", "body", "html", "main", "blockquote"}
 #: Elements whose class and id are not asked: density decides.
 PLAIN = {"article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "body"}
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|sidebar|side|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|comments?|respond|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|widget|pagination|toolbar)(?=$|\s)", re.I)
+#: Words of boilerplate: those that name it wherever they stand between hyphens or underscores, and those that do at a name's end only.
+ANYWHERE = r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|sidebars?|comments?|commentlist|comment\w*|respond|responses?|replies|discussion|disqus|newsletters?|popups?|modal|footer|topbar|navbar|nav|breadcrumbs?|related[_-](?:posts?|articles?|links?|stories|content|items?|news|products?|box)|(?:share|sharing)[_-](?:buttons?|bar|box|links?|icons?|tools?|this)|social|subscribe|pagination|banner|masthead|header[_-](?:top|bar|menu)|top[_-]header"
+AT_END = r"related|share|sharing|notices?|alert|side|menu|navigation|header|signup|login|widget|toolbar"
+BOILERPLATE = re.compile(rf"(?:^|[\s_-])(?:{AT_END}|{ANYWHERE})(?=$|\s)", re.I)
+PARTLY = re.compile(rf"(?:^|[\s_-])(?:{ANYWHERE})(?=[\s_-]|$)", re.I)
+#: Names of an article's own text; beside one of these, words inside other names say nothing.
+CONTENT = re.compile(r"(?:^|\s)(?:(?:entry|post|article|story|main|page|site)[_-]?(?:content|body|text)|content|main|article|hentry)(?=$|\s)", re.I)
 #: Class words that only speak of boilerplate elsewhere, and those of an article's own heading.
 SPOKEN = re.compile(r"(?:^|(?<=\s))(?:\S*[_-])?(?:has|no|with|without|hide|show)[_-]\S+|(?:^|(?<=\s))(?:entry|post|article|story|content)[_-]+header(?=$|\s)", re.I)
-LEAST_PROSE = 120  # characters without links that make a faded element the main text, where a page has no other
+SENTENCE = re.compile(r"\w[.!?\u2026\u3002][\"'\u201d\u00bb)]*(?:\s|$)")
+LEAST_PROSE = 120  # characters without links that make an element named as boilerplate the main text, where a page has no other
+PROSE = 0.7  # share of characters outside of links that a sibling of the main text has
 FADE = 0.05  # what counts of the density of an element that is named as boilerplate
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 class Node:
     __slots__ = ("chars", "density", "faded", "kids", "link_chars", "link_tags", "sum", "tag", "tags", "up")
 
-    def __init__(self, tag: str, up: Node | None, faded: bool = False):
+    def __init__(self, tag: str, up: Node | None, faded: str = ""):
         self.tag, self.up, self.kids, self.faded = tag, up, [], faded
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -93,23 +103,73 @@ class _Open:
             self.pop_to(x.up)
 
 
+class _Tags:
+    """Markup of a page, one after the other, in time that grows with its length: where a tag ends is worked out from the page's end for all quotes at once."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        marks = [(m.start(), m[0]) for m in re.finditer("[\"'>]", source)]
+        self.places = [at for at, _ in marks]
+        self.ends = [-1] * (len(marks) + 1)  # of a tag that goes on at this quote or bracket; -1: it never ends
+        following = {'"': len(marks), "'": len(marks)}
+        for k in range(len(marks) - 1, -1, -1):
+            at, kind = marks[k]
+            if kind == ">":
+                self.ends[k] = at
+            else:
+                other = following[kind]
+                self.ends[k] = self.ends[other + 1] if other < len(marks) else -1
+                following[kind] = k
+        self.cdata = source.rfind("]]>")
+        self.bracket = source.rfind(">")
+
+    def next(self, place: int) -> tuple[int, int, str, str]:
+        """(start, end, name, attributes) of the first markup from place on; name is empty for comments and the like, with a slash for end tags; start is -1 where there is none."""
+        source = self.source
+        while (at := source.find("<", place)) >= 0:
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(source), "", ""
+            if source.startswith("<![CDATA[", at) and at + 9 <= self.cdata:
+                return at, source.find("]]>", at + 9) + 3, "", ""
+            if at > self.bracket:
+                break
+            if source[at + 1 : at + 2] in ("!", "?"):
+                return at, source.find(">", at + 2) + 1, "", ""
+            if m := _NAME.match(source, at + 1):
+                end = self.ends[bisect_left(self.places, m.end())]
+                if end >= 0:
+                    return at, end + 1, m[0], source[m.end() : end]
+                end = source.find(">", m.end())
+                if end >= 0:
+                    return at, end + 1, m[0], ""
+            place = at + 1
+        at = source.find("<!--", place)
+        return (at, len(source), "", "") if at >= 0 else (-1, len(source), "", "")
+
+
+def _named(marks: str) -> bool:
+    """Whether an element's class, id and role name boilerplate."""
+    marks = SPOKEN.sub("", marks)
+    return bool(BOILERPLATE.search(marks)) or (bool(PARTLY.search(marks)) and not CONTENT.search(marks))
+
+
 def parse(source: str) -> Node:
     """The tree of elements and texts below html; dropped elements are left out, with all they hold: their parents don't list them."""
-    state = _Open()
+    state, tags = _Open(), _Tags(source)
     top, place = state.top, 0
     while place < len(source):
-        m = _TAG.search(source, place)
-        text = source[place : m.start() if m else len(source)]
+        start, end, name, attributes = tags.next(place)
+        text = source[place : start if start >= 0 else len(source)]
         if text:
             state.at.kids.append(html.unescape(text))
-        if not m:
+        if start < 0:
             break
-        place = m.end()
-        name = (m[2] or m[5] or "").lower()
+        place, name = end, name.lower()
         if not name:
             continue
-        if m[1] or m[4]:
-            state.end(name)
+        if name[0] == "/":
+            state.end(name[1:])
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, place)
@@ -125,12 +185,11 @@ def parse(source: str) -> Node:
                 state.push(new)
             continue
         state.imply_ends(name)
-        marks = " ".join(filter(None, (v for g in _MARK.findall(m[3] or "") for v in g)))
-        named = name in BLOCKS and name not in PLAIN and bool(marks) and bool(BOILERPLATE.search(SPOKEN.sub("", marks)))
-        new = Node(name, state.at, named or name in FADED)
+        named = name in BLOCKS and name not in PLAIN and _named(" ".join(filter(None, (v for g in _MARK.findall(attributes) for v in g))))
+        new = Node(name, state.at, "named" if named else "kind" if name in FADED else "")
         if not (name in DROPPED or (name == "header" and not state.all["article"])):
             state.at.kids.append(new)
-        if not (m[3] or "").endswith("/"):
+        if not attributes.endswith("/"):
             state.push(new)
     return top
 
@@ -211,8 +270,10 @@ def main_text(source: str | None) -> str:
     bodies = [x for x in order if x.tag == "body"]
     best = max((x for x in order if x is not top or not bodies), key=lambda x: x.sum)  # of equals the outermost
     open_ = {id(x) for x in _path(best)}
-    if any(x.faded for x in _path(best)) and max((_longest(x) for x in order if x is best or x.up is best), default=0) < LEAST_PROSE:
+    if any(x.faded == "named" for x in _path(best)) and max((_longest(x) for x in order if x is best or x.up is best), default=0) < LEAST_PROSE:
         return ""  # nothing on the page but what is named as boilerplate
+    if any(x.faded == "kind" for x in _path(best)) and not any(SENTENCE.search(x) for x in _texts(best)):
+        return ""  # labels of a form
     threshold = min(x.density for x in _path(best) if x.tag != "html" or x is best)
     chosen = {id(best)}
     greatest: dict[int, Node] = {}
@@ -222,9 +283,27 @@ def main_text(source: str | None) -> str:
     for x in order:
         if x.density >= threshold and x.chars and x is not top:
             chosen.add(id(greatest[id(x)]))
+    chosen |= {id(x) for x in (best.up.kids if best.up else ()) if isinstance(x, Node) and _goes_with(x, best)}
     return "\n".join(_blocks(top, chosen, open_))
 
 
+def _texts(node: Node) -> Iterator[str]:
+    stack: list = [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            yield x
+        else:
+            stack += x.kids
+
+
+def _goes_with(x: Node, best: Node) -> bool:
+    """Whether a sibling of the main text is part of the article: it is no boilerplate, its text is not in links, and it is in the article's own element or a section that holds sentences."""
+    if x.faded or not x.chars or _longest(x) < PROSE * x.chars:
+        return False
+    return x.up.tag in ("main", "article") or (x.tag == best.tag == "section" and any(SENTENCE.search(t) for t in _texts(x)))
+
+
 def _longest(node: Node) -> int:
     """Characters of the element without those in links."""
     return node.chars - node.link_chars
