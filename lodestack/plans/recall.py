@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestack.operators import fast, trees
+from lodestack.operators.ngram_index import MessageIndex
 from lodestack.plans.catalogue import OCC, query
 from lodestack.sources.adapters import occurrences, table
 from lodestack.sources.engine import LINKS, memory_chunks, summaries, tree_links
+from lodestack.sources.staging import shared_dir
+from lodestack.streaming.buffers import event_stream
+from lodestack.streaming.seals import run_seals
 
 #: Orders as nodes of the memory: every third a leaf, the others summaries, scoped by priority, with the vector of the same number.
 NODES = f"""{OCC}, held AS (SELECT node, list(entity ORDER BY entity) AS entities FROM occ GROUP BY node),
@@ -76,3 +82,28 @@ def cover_latest_versions(spark, sf):
     s = s.withColumn("doc_id", F.when(F.col("level") == 1, F.concat(F.lit("doc:"), "scope", F.lit(":"), F.floor(bucket / 3)))).withColumn("version_ms", F.col("n_children"))
     leaves = memory_chunks(spark, sf).where("status <> 'dropped'")
     return trees.window_cover(leaves, s, tree_links(spark, sf), SINCE, UNTIL)
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text, conv_id * 1000 + turn AS at_ms, replace(strip_accents(lower(text)), 'ß', 'ss') AS f FROM conversations),
+s AS (SELECT *, (contains(f, 'tion')::INT + contains(f, 'wher')::INT + contains(f, 'uber')::INT) AS matched FROM m WHERE conv_id <> 1)
+SELECT conv_id::VARCHAR AS thread, turn::VARCHAR AS message, role, sha256(text) AS content_sha256, at_ms, matched / 3 AS score FROM s WHERE matched > 0 ORDER BY score DESC, at_ms DESC, thread, message LIMIT 100""")
+def indexed_search(spark, sf):
+    """Messages put into an index in two inserts that overlap, and a search in all threads but one."""
+    index = MessageIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    c = table(spark, sf, "conversations")
+    rows = c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("message"), "role", F.col("text").alias("content"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at_ms"))
+    index.insert(rows.where("message < 3"))
+    index.insert(rows)
+    found = index.search("TION wher über", 100, without="1")
+    return found.select("thread", "message", "role", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"), "at_ms", "score")
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_type AS tree, floor(value)::BIGINT AS tokens, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id::VARCHAR) AS k FROM events),
+r AS (SELECT tree, k, tokens, at_ms, tokens AS acc, 0::BIGINT AS node FROM e WHERE k = 1 UNION ALL
+  SELECT e.tree, e.k, e.tokens, e.at_ms, CASE WHEN r.acc >= 2000 THEN 0 ELSE r.acc END + e.tokens, r.node + (r.acc >= 2000)::INT FROM r JOIN e ON e.tree = r.tree AND e.k = r.k + 1)
+SELECT tree, node, count(*)::INT AS n_items, sum(tokens)::BIGINT AS tokens, min(at_ms) AS start_ms, max(at_ms) AS end_ms FROM r GROUP BY tree, node HAVING sum(tokens) >= 2000""")
+def sealed_events(spark, sf):
+    """Events as a stream: buffers by type, sealed when they reach 2,000."""
+    e = event_stream(spark, sf).select(F.col("event_type").alias("tree"), F.col("event_id").cast("string").alias("item"), F.floor("value").alias("tokens"), F.col("ts").alias("at"))
+    nodes = spark.read.parquet(f"{run_seals(e, 2_000, 10**13)}/nodes")
+    return nodes.select("tree", "node", F.size("items").alias("n_items"), "tokens", "start_ms", "end_ms")
