@@ -2,9 +2,11 @@
 
 A label's vectors are dealt by id to shards of bounded size; each shard becomes one graph, and each shard's vectors are
 one block of queries. Every block queries every shard of its label. A search walks the graph for all queries of a block
-in step, so each step is a few array operations. A beam that ends with nothing but links in it is widened. An audit scans
-the shard for a sample of the block that holds a stated number of links, and widens all beams until their recall passes,
-in the end to a scan; a block with fewer links is scanned. Candidates are verified in double precision. A task returns counts and a spanning forest, never all pairs.
+in step, so each step is a few array operations. How wide beams are is audited. When a graph is made, queries are
+planted just inside the bound around random vectors of it; beams widen until the walks find what a scan finds for them.
+When a block asks, some of its queries are scanned too, and beams widen until no link of theirs is missed; a beam that
+ends with nothing but links in it is widened in any case. Candidates are verified in double precision. A task returns
+counts and a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ SHARD_ROWS = 4_096
 DEGREE = 16
 BUILD_BEAM = 48
 FIRST_BEAM = 32
-AUDIT_QUERIES = 64  # scanned at a time
-AUDIT_LINKS = 1_000  # true links that an audit has to meet, so that one in a thousand shows
-AUDIT_RECALL = 0.999
+AUDIT_QUERIES = 64  # of a block, that are scanned besides
+AUDIT_LINKS = 2_000  # planted links of a graph at least, so that one in two thousand shows
+AUDIT_RECALL = 1.0
+NEAR = 2e-4  # how far inside the bound planted queries are
+RUN = 16  # blocks of queries that one task takes to a graph, which is sent once for all of them
 SCAN_FROM = 16  # a beam of more than one in so many vectors is not walked any more: the shard is scanned
 SLACK = 1e-4  # single precision may be off by less
 
@@ -185,32 +189,50 @@ def _walk(low: np.ndarray, levels: list[np.ndarray], q32: np.ndarray, todo: np.n
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def range_search(index: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, least: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+def _recall(found: tuple[np.ndarray, np.ndarray], true: tuple[np.ndarray, np.ndarray], rows: int) -> float:
+    """The share of the true pairs that are found, 1 where there are none; rows: of the index."""
+    want = np.unique(true[0] * rows + true[1])
+    return float(np.isin(want, found[0] * rows + found[1]).mean()) if len(want) else 1.0
+
+
+def audited_beam(index: np.ndarray, levels: list[np.ndarray], least: float) -> tuple[int, float]:
+    """(beam, recall): the first beam whose walks find AUDIT_RECALL of the links of planted queries, in the end one that is a scan."""
+    rng = np.random.default_rng(11)
+    at = rng.integers(0, len(index), AUDIT_LINKS)
+    side = rng.normal(size=(len(at), index.shape[1]))
+    side -= np.einsum("id,id->i", side, index[at])[:, None] * index[at]
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    cos = min(1.0, least + NEAR)
+    planted = cos * index[at] + np.sqrt(1 - cos * cos) * np.divide(side, length, out=np.zeros_like(side), where=length > 1e-9)
+    low, q32, every = index.astype(np.float32), planted.astype(np.float32), np.arange(len(at))
+    true = _verified(index, planted, *_walk(low, levels, q32, every, len(low), least), least)
+    beam = FIRST_BEAM
+    while beam < len(index):
+        recall = _recall(_verified(index, planted, *_walk(low, levels, q32, every, beam, least), least), true, len(index))
+        if recall >= AUDIT_RECALL:
+            return beam, recall
+        beam = _wider(beam, len(index))
+    return len(index), 1.0
+
+
+def range_search(index: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, least: float, same: bool = False, beam: tuple[int, float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(query rows, index rows, audited recall) of all found pairs with a cosine of least or more; both inputs are unit vectors in double precision.
 
-    Queries are scanned in random order until AUDIT_LINKS true links are met, a query's link with itself (same: both inputs
-    are one) not counted. A walk has to find AUDIT_RECALL of them again before it is trusted with the rest. Where links are
-    too few for that every query is scanned.
+    Every query walks, with the graph's audited beam at first. AUDIT_QUERIES random ones are scanned besides; while a link
+    of theirs is missed, all walk again with a wider beam; a query's link with itself (same: both inputs are one) is no evidence. The recall is the lower of that of the planted and of the scanned queries.
     """
     low, q32 = index.astype(np.float32), queries.astype(np.float32)
-    own = lambda r, c: int((r == c).sum()) if same else 0
-    order = np.random.default_rng(7).permutation(len(queries))
-    known, links, at = [], 0, 0
-    while at < len(order) and links < AUDIT_LINKS:
-        r, c = _verified(index, queries, *_walk(low, levels, q32, order[at : at + AUDIT_QUERIES], len(low), least), least)
-        known.append((r, c))
-        links += len(r) - own(r, c)
-        at += AUDIT_QUERIES
-    recall, beam = 1.0, FIRST_BEAM
-    if len(rest := order[at:]):
-        while True:
-            r, c = _verified(index, queries, *_walk(low, levels, q32, order[:at], beam, least), least)
-            recall = (len(r) - own(r, c)) / links
-            if recall >= AUDIT_RECALL or beam >= len(index):
-                break
-            beam = _wider(beam, len(index))
-        known.append(_verified(index, queries, *_walk(low, levels, q32, rest, beam, least), least))
-    return np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known]), recall
+    width, recall = beam or audited_beam(index, levels, least)
+    sample = np.random.default_rng(7).permutation(len(queries))[:AUDIT_QUERIES]
+    true = _verified(index, queries, *_walk(low, levels, q32, sample, len(low), least), least)
+    if same:
+        true = true[0][other := true[0] != true[1]], true[1][other]
+    while True:
+        found = _verified(index, queries, *_walk(low, levels, q32, np.arange(len(queries)), width, least), least)
+        seen = _recall(found, true, len(index))
+        if seen == 1 or width >= len(index):
+            return *found, min(recall, seen)
+        width = _wider(width, len(index))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
@@ -228,31 +250,36 @@ def _forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     return {x: root(x) for x in list(up)}
 
 
-def _make(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep")
-    v = unit(np.stack(pdf["embedding"].to_numpy()))
-    levels = build(v.astype(np.float32))
-    first = pdf.iloc[0]
-    keep = {"ids": pdf["rep"].to_numpy(np.int64), "n": pdf["n"].to_numpy(np.int64), "v": v}
-    return pd.DataFrame({
-        "label": [first["label"]], "dim": [first["dim"]], "shards": [first["shards"]], "shard": [first["shard"]],
-        **{k: [x.tobytes()] for k, x in keep.items()},
-        "graph": [[x.astype("<i4").tobytes() for x in levels]],
-    })
+def _make(least: float):
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        v = unit(np.stack(pdf["embedding"].to_numpy()))
+        levels = build(v.astype(np.float32))
+        beam, recall = audited_beam(v, levels, least)
+        first = pdf.iloc[0]
+        keep = {"ids": pdf["rep"].to_numpy(np.int64), "n": pdf["n"].to_numpy(np.int64), "v": v}
+        return pd.DataFrame({
+            "label": [first["label"]], "dim": [first["dim"]], "shards": [first["shards"]], "shard": [first["shard"]],
+            **{k: [x.tobytes()] for k, x in keep.items()},
+            "graph": [[x.astype("<i4").tobytes() for x in levels]], "beam": [beam], "recall": [recall],
+        })
+
+    return make
 
 
 def _ask(least: float):
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, x in pdf.iterrows():
-            ids, n = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["n"], np.int64)
-            q_ids = np.frombuffer(x["q_ids"], np.int64)
-            v, q = (np.frombuffer(x[k]).reshape(-1, int(x["dim"])) for k in ("v", "q_v"))
-            sizes = [len(v)]
-            while len(sizes) < len(x["graph"]):
-                sizes.append(max(1, sizes[-1] // DEGREE))
-            levels = [np.frombuffer(g, "<i4").reshape(s, -1).astype(np.int64) for g, s in zip(x["graph"], sizes[::-1], strict=True)]
-            r, c, recall = range_search(v, levels, q, least, x["shard"] == x["block"])
+    """A graph and a run of blocks of queries."""
+
+    def ask(graph: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        x, out = graph.iloc[0], []
+        ids, n, v = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["n"], np.int64), np.frombuffer(x["v"]).reshape(-1, int(x["dim"]))
+        sizes = [len(v)]
+        while len(sizes) < len(x["graph"]):
+            sizes.append(max(1, sizes[-1] // DEGREE))
+        levels = [np.frombuffer(g, "<i4").reshape(s, -1).astype(np.int64) for g, s in zip(x["graph"], sizes[::-1], strict=True)]
+        for shard, q_ids, q_v in zip(blocks["block"], blocks["q_ids"], blocks["q_v"], strict=True):
+            q_ids, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q_v).reshape(-1, v.shape[1])
+            r, c, recall = range_search(v, levels, q, least, x["shard"] == shard, (int(x["beam"]), float(x["recall"])))
             r, c = r[keep := q_ids[r] != ids[c]], c[keep]
             count = np.bincount(r, weights=n[c], minlength=len(q_ids)).astype(np.int64)
             roots = _forest(q_ids[r], ids[c])
@@ -269,29 +296,30 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     A null label, and a vector that is null, empty, zero or holds null or non-finite components, links with nothing; vectors
     of unlike length don't link. Equal vectors of a label are one node that stands for all of them, each linked with the
     others. Every row gets a result, repeated ids too (they count as copies); an empty table gives an empty result.
-    audited_recall is the lowest of the audits of the vector's blocks, null where nothing was found.
+    audited_recall is the lowest of the audits of the vector's blocks and graphs, null where it links with nothing else.
     """
     v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("usable", usable).withColumn("key", F.when(F.col("usable"), F.sha2(F.concat_ws(",", v.cast("array<string>"), F.array("label")), 256)))
     reps = staged(rows.where("usable").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "vectors").withColumn("dim", F.size("embedding"))
     sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     dealt = reps.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     graphs = staged(
-        dealt.groupBy("label", "dim", "shards", "shard").applyInPandas(_make, "label string, dim int, shards int, shard int, ids binary, n binary, v binary, graph array<binary>"),
+        dealt.groupBy("label", "dim", "shards", "shard").applyInPandas(_make(least), "label string, dim int, shards int, shard int, ids binary, n binary, v binary, graph array<binary>, beam int, recall double"),
         "graphs",
     )
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    index = graphs.withColumn("block", every)
-    asks = graphs.select("label", "dim", F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), every.alias("shard"))
-    met = index.join(asks, ["label", "dim", "shard", "block"]).groupBy("label", "dim", "shard", "block").applyInPandas(_ask(least), "a long, b long, n long, recall double")
+    keys = ["label", "dim", "shard", "run"]
+    index = graphs.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(shards - 1) div {RUN}"))))
+    asks = graphs.select("label", "dim", F.expr(f"shard div {RUN}").alias("run"), F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    met = index.groupBy(keys).cogroup(asks.groupBy(keys)).applyInPandas(_ask(least), "a long, b long, n long, recall double")
     met = staged(met, "links")
     counts = met.groupBy("a").agg(F.sum("n").alias("found"), F.min("recall").alias("audited_recall"))
     groups = components(met, "a", "b")
     per = reps.select("key", "rep", "n").join(counts, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left")
     per = per.select("key", (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "audited_recall")
-    out = rows.select("id", "key").join(per, "key", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "audited_recall")
+    linked = rows.where("usable").select("id", "key").join(per, "key").select("id", "n_links", "component_id", "audited_recall")
+    alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(None).cast("double").alias("audited_recall"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "audited_recall")
