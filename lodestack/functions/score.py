@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import EMAIL, URL, chars_tokens, terms, words
+from lodestack.functions.text import EMAIL, URL, chars_tokens, words
 
 #: Weights of hybrid profiles, for graph, vector, keyword and freshness.
 PROFILES = {"balanced": (0.35, 0.35, 0.15, 0.15), "semantic": (0.15, 0.65, 0.20, 0.0), "lexical": (0.25, 0.15, 0.60, 0.0), "graph_first": (0.55, 0.30, 0.15, 0.0)}
@@ -54,25 +54,31 @@ def token_ramp(tokens: Column) -> Column:
 
 
 def unique_words(text: Column) -> Column:
-    """Share of distinct words from 0.3 to 0.7, as 0 to 1; under five words a half."""
-    found = F.filter(F.transform(terms(text), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
-    share = F.size(F.array_distinct(found)) / F.size(found)
-    return F.when(F.size(found) < 5, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (share - 0.3) / 0.4)))
+    """Share of distinct words from 0.3 to 0.7, as 0 to 1; under five words a half. A word is what a term holds from its first letter or digit to its last."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}](?:\S*[\p{L}\p{N}])?)"), F.lit(1))
+
+    def share(w: Column) -> Column:
+        return F.when(F.size(w) < 5, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.size(F.array_distinct(w)) / F.size(w) - 0.3) / 0.4)))
+
+    return F.get(F.transform(F.array(found), share), F.lit(0))  # the words are looked for once
 
 
 def entities(text: Column) -> Column:
-    """Distinct e-mail addresses and URLs, lower-cased."""
-    return F.array_distinct(F.transform(F.concat(F.regexp_extract_all(text, F.lit(f"({EMAIL})"), F.lit(1)), F.regexp_extract_all(text, F.lit(f"({URL})"), F.lit(1))), F.lower))
+    """Distinct e-mail addresses and URLs, lower-cased; looked for only where a text has their signs."""
+    found = lambda sign, pattern: F.when(F.contains(text, F.lit(sign)), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(found("@", EMAIL), found("://", URL)), F.lower))
 
 
-def entity_density(text: Column) -> Column:
-    tokens = chars_tokens(text)
-    return F.when(tokens == 0, 0.0).otherwise(F.least(F.lit(1.0), F.size(entities(text)) / tokens / 0.01))
+def entity_density(tokens: Column, n_entities: Column) -> Column:
+    return F.when(tokens == 0, 0.0).otherwise(F.least(F.lit(1.0), n_entities / tokens / 0.01))
 
 
-def signals(text: Column, kind: Column, interaction: Column) -> dict[str, Column]:
+def with_signals(rows: DataFrame, text: Column, kind: Column, interaction: Column) -> DataFrame:
+    """rows with tok, n_entities, a column s_<signal> for each cheap signal, and total. Words, entities and tokens of a text are counted once, the signals made of the counts."""
     weight = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in KINDS.items()], F.lit(0.5))
-    return {"tokens": token_ramp(chars_tokens(text)), "unique": unique_words(text), "kind": weight, "source": weight, "interaction": interaction, "entities": entity_density(text)}
+    counted = rows.withColumns({"tok": chars_tokens(text), "n_entities": F.size(entities(text)), "s_unique": unique_words(text), "s_kind": weight, "s_source": weight, "s_interaction": interaction})
+    made = counted.withColumns({"s_tokens": token_ramp(F.col("tok")), "s_entities": entity_density(F.col("tok"), F.col("n_entities"))})
+    return made.withColumn("total", admission({k: F.col(f"s_{k}") for k in WEIGHTS}))
 
 
 def admission(found: dict[str, Column]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import score as S
 from lodestack.functions import text as T
+from lodestack.operators.batches import placed
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
@@ -74,9 +75,12 @@ def ngram_search(messages: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def sealed(docs: DataFrame, fan_out: int) -> DataFrame:
-    """Summary nodes of fan_out documents each, in order, per source; content is joined by blank lines and kept as its hash."""
-    bucket = ((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / fan_out).cast("long")
-    rows = docs.select("source", "doc_id", "text").withColumn("bucket", bucket)
+    """Summary nodes of fan_out documents each, in order, per source; content is joined by blank lines and kept as its hash.
+
+    Only ids are numbered, in ranges that share a source among tasks; texts come to their bucket by id. doc_ids are distinct.
+    """
+    numbered = placed(docs.select("source", "doc_id"), "source", ["doc_id"]).select("doc_id", F.expr(f"pos div {fan_out}").alias("bucket"))
+    rows = docs.select("source", "doc_id", "text").join(numbered, "doc_id")
     content = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n")
     return rows.groupBy("source", "bucket").agg(
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_children"),
@@ -93,9 +97,8 @@ def ranking_metrics(ranked: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def capped_rules(part: DataFrame, cap: int) -> DataFrame:
-    """(p_partkey, critical, k): the best `cap` rules, or all critical ones if those are more."""
-    order = [F.desc("p_size"), F.desc("p_retailprice"), F.asc("p_partkey")]
+    """(p_partkey, critical, k): the best `cap` rules, or all critical ones if those are more; ranks are places in ranges of the order, so no task holds all rules."""
     rules = part.select("p_partkey", "p_size", "p_retailprice", (F.col("p_size") >= 48).alias("critical"))
     most = max(cap, rules.where("critical").count())
-    best = rules.orderBy(*order).limit(most)  # top-k is cut in each task before it is gathered
-    return best.withColumn("k", F.row_number().over(Window.orderBy(*order)).cast("long")).select("p_partkey", "critical", "k")
+    ranked = placed(rules.select(F.lit(0).alias("all"), (-F.col("p_size")).alias("size"), (-F.col("p_retailprice")).alias("price"), "p_partkey", "critical"), "all", ["size", "price", "p_partkey"])
+    return ranked.where(F.col("pos") < most).select("p_partkey", "critical", (F.col("pos") + 1).alias("k"))

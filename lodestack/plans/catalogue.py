@@ -261,9 +261,7 @@ a AS (SELECT *, greatest(0, least(1, (s_tokens + s_unique + 1.5 * 0.9 + 1.5 * 0.
 
 
 def _signals(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", T.chars_tokens(F.col("text")).alias("tok"), F.size(S.entities(F.col("text"))).alias("n_entities"))
-    found = S.signals(F.col("text"), F.lit("document"), F.lit(0.0))
-    return d.select("doc_id", "tok", "n_entities", *[v.alias(f"s_{k}") for k, v in found.items() if k in ("tokens", "unique", "entities")], S.admission(found).alias("total"))
+    return S.with_signals(table(spark, sf, "documents").select("doc_id", "text"), F.col("text"), F.lit("document"), F.lit(0.0))
 
 
 @query(f"WITH {_SIGNALS} SELECT doc_id, round(s_tokens, 6) AS s_tokens, round(s_unique, 6) AS s_unique, round(s_entities, 6) AS s_entities, round(total, 6) AS total FROM a")
