@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestack.plans import memory, recall, store  # noqa: F401
+from lodestack.plans import knowledge, memory, recall, store  # noqa: F401
 from lodestack.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
