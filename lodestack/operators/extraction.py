@@ -208,15 +208,13 @@ def units_of(docs: DataFrame, by_sentence: bool = True) -> DataFrame:
 
 
 def _unit_steps(units: DataFrame, names: Names) -> DataFrame:
-    given, placed = (lambda n, p=p: F.regexp_extract("unit", p, n) for p in (GIVEN, PLACED))
-    classed = _open_class(given(2), names)
-    way = F.upper(placed(2))
-    back = F.element_at(F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair]), way)
-    none = F.array().cast(f"array<{STEP}>")
-    gave = F.array(_step(given(1), "PERSON", "USES", given(2), classed, 0.62), _step(given(3), "PERSON", "USES", given(2), classed, 0.55))
-    lies = F.array(_step(placed(1), "ROOM", F.concat(way, F.lit("_OF")), placed(3), "ROOM", 0.70), _step(placed(3), "ROOM", F.concat(back, F.lit("_OF")), placed(1), "ROOM", 0.70))
-    made = F.concat(F.when(F.col("unit").rlike(GIVEN), gave).otherwise(none), F.when(F.col("unit").rlike(PLACED), lies).otherwise(none))
-    rows = units.select("doc", (F.col("at") + 10**12).alias("at"), F.posexplode(made).alias("k", "step"))
+    taken = lambda pattern: [F.regexp_extract("unit", pattern, n).alias(f"g{n}") for n in (1, 2, 3)]
+    gave = units.where(F.col("unit").rlike(GIVEN)).select("doc", "at", *taken(GIVEN)).withColumn("type", _open_class(F.col("g2"), names))
+    gave = gave.select("doc", "at", F.posexplode(F.array(_step(F.col("g1"), "PERSON", "USES", F.col("g2"), F.col("type"), 0.62), _step(F.col("g3"), "PERSON", "USES", F.col("g2"), F.col("type"), 0.55))).alias("k", "step"))
+    lies = units.where(F.col("unit").rlike(PLACED)).select("doc", "at", *taken(PLACED)).withColumn("way", F.upper("g2"))
+    back = F.element_at(F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair]), F.col("way"))
+    lies = lies.select("doc", "at", F.posexplode(F.array(_step(F.col("g1"), "ROOM", F.concat("way", F.lit("_OF")), F.col("g3"), "ROOM", 0.70), _step(F.col("g3"), "ROOM", F.concat(back, F.lit("_OF")), F.col("g1"), "ROOM", 0.70))).alias("k", "step"))
+    rows = gave.unionAll(lies.withColumn("k", F.col("k") + 2)).withColumn("at", F.col("at") + 10**12)
     return rows.select("doc", "at", (F.col("at") * 1_000_000 + F.col("k") * 2).cast("long").alias("time"), F.lit(None).cast("string").alias("need"), F.lit(False).alias("instead"), "step.*")
 
 
