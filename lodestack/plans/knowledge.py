@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import extraction
 from lodestack.plans.catalogue import query
 from lodestack.sources.adapters import table
+from lodestack.sources.transcripts import turns
 
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,3 +59,32 @@ def enriched_notes(spark, sf):
     facts = extraction.extract(notes)[2]
     told = facts.select("doc", F.array_join("decisions", "|").alias("decisions"), F.array_join("preferences", "|").alias("preferences"))
     return extraction.enriched(notes, facts).join(told, "doc").select("doc", F.array_join("tags", "|").alias("tags"), "decisions", "preferences", "kind")
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, place, line): conversations as session logs, with a broken line before each."""
+    c = table(spark, sf_dir, "conversations")
+    body = F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))
+    said = F.to_json(F.struct(F.col("role").alias("type"), body.alias("message"), F.concat(F.lit("/work/"), F.col("conv_id") % 7).alias("cwd"), F.concat(F.lit("s"), "conv_id").alias("sessionId")))
+    place = F.col("turn").cast("long") * 2
+    rows = c.select(F.concat(F.lit("log-"), "conv_id").alias("path"), F.explode(F.array(F.struct(place.alias("place"), F.substring(said, 1, 9).alias("line")), F.struct((place + 1).alias("place"), said.alias("line")))).alias("x"))
+    return rows.select("path", "x.*")
+
+
+_SAID = r"""said AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+heard AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text[1:200] END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context,
+  regexp_matches(lower(text), '^(no,|no |nope|actually|wait|stop|don''t|dont|instead|revert|undo|that''s wrong|thats wrong|not like that)|not what i|do it again|that''s not') AS back FROM said)"""
+
+
+@query(f"""WITH {_SAID}
+SELECT 'log-' || conv_id AS path, turn * 2 + 1 AS place, CASE WHEN back THEN 1 ELSE 2 END AS tier,
+  CASE WHEN NOT back THEN 'user: ' || text WHEN context IS NULL THEN 'user (interrupt): ' || text ELSE 'user (interrupting agent that said "' || context || '"): ' || text END AS excerpt FROM heard WHERE role = 'user'""")
+def transcript_turns(spark, sf):
+    """What users said in the logs, with what they interrupted."""
+    return turns(_logs(spark, sf))[0].select("path", "place", "tier", "excerpt")
+
+
+@query("SELECT 'log-' || conv_id AS path, '/work/' || (conv_id % 7) AS scope, 's' || conv_id AS session, count(*) AS broken FROM conversations GROUP BY conv_id")
+def transcript_logs(spark, sf):
+    """Scope, session and broken lines of each log."""
+    return turns(_logs(spark, sf))[1].select("path", "scope", "session", "broken")
