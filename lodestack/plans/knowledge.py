@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators import extraction
+from lodestack.operators import extraction, json_redaction
 from lodestack.plans.catalogue import query
 from lodestack.sources.adapters import table
 from lodestack.sources.transcripts import turns
@@ -88,3 +88,15 @@ def transcript_turns(spark, sf):
 def transcript_logs(spark, sf):
     """Scope, session and broken lines of each log."""
     return turns(_logs(spark, sf))[1].select("path", "scope", "session", "broken")
+
+
+@query("""SELECT o_orderkey, '{"order":' || o_orderkey || ',"owner":{"access_token":"[REDACTED_SECRET]","Pass-Words":"[REDACTED_SECRET]","kept":[1,{"a":null}]},"items":["' || o_orderpriority || '",{"session key":"[REDACTED_SECRET]","keys":"' || o_orderstatus || '"}]}' AS body,
+  3 AS key_redactions, 0 AS text_redactions, 0 AS depth_redactions FROM orders""")
+def json_sanitized(spark, sf):
+    """Orders as JSON with spaces between tokens, tokens and passwords among them."""
+    o = table(spark, sf, "orders")
+    body = F.concat(
+        F.lit('{ "order": '), "o_orderkey", F.lit(',\n "owner": {"access_token": "t'), "o_custkey", F.lit('", "Pass-Words": [1, {"key": "}"}, [ ]], "kept": [1, {"a": null}]}, "items": ["'), "o_orderpriority",
+        F.lit('", {"session key": {"x": "'), "o_orderstatus", F.lit('"}, "keys": "'), "o_orderstatus", F.lit('"} ] }'),
+    )
+    return json_redaction.sanitized(o.select("o_orderkey", body.alias("body")), "o_orderkey", "body")
