@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators import extraction, json_redaction
+from lodestack.operators import extraction, json_redaction, text_diff
 from lodestack.plans.catalogue import query
 from lodestack.sources.adapters import table
 from lodestack.sources.transcripts import turns
@@ -100,3 +100,14 @@ def json_sanitized(spark, sf):
         F.lit('", {"session key": {"x": "'), "o_orderstatus", F.lit('"}, "keys": "'), "o_orderstatus", F.lit('"} ] }'),
     )
     return json_redaction.sanitized(o.select("o_orderkey", body.alias("body")), "o_orderkey", "body")
+
+
+@query(r"""WITH d AS (SELECT doc_id AS item, coalesce(text, '') AS text FROM documents WHERE doc_id % 2 = 0), l AS (SELECT item, text, CASE WHEN text = '' THEN [] WHEN text[-1:] = chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS lines FROM d),
+h AS (SELECT *, least(3, len(lines)) AS c, text[-1:] <> chr(10) AND len(lines) <= 3 AS open FROM l)
+SELECT item, ('@@ -' || CASE WHEN c = 0 THEN '0,0' ELSE '1,' || c END || ' +1,' || (c + 1) || ' @@' || chr(10) || '+version 2' || chr(10) || list_aggregate(list_transform(lines[1:c], lambda x: ' ' || x || chr(10)) || [''], 'string_agg', '')
+  || CASE WHEN open AND c > 0 THEN '\ No newline at end of file' || chr(10) ELSE '' END)[1:2000] AS patch FROM h""")
+def snapshot_patches(spark, sf):
+    """Patches between two snapshots of documents: every second one gets a first line, the others stay."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    new = d.withColumn("text", F.when(F.col("item") % 2 == 0, F.concat(F.lit("version 2\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    return text_diff.patches(d, new, "item", "text")
