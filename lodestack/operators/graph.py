@@ -27,7 +27,7 @@ def co_occurring(occurrences: DataFrame, entity: str, limit: int) -> DataFrame:
 
 
 def bfs_pairs(edge_rows: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
-    """(a, b, distance) of target pairs at most hops apart; nodes between may be any. One join a hop, only new nodes go on. edge_rows: (a, b) and more."""
+    """(a, b, distance) of target pairs at most hops apart; nodes between may be any. Walks from both ends meet halfway. edge_rows: (a, b) and more."""
     ends = edge_rows.select("a", "b")
     links = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("at"), F.col("b").alias("next")).distinct()
     return _pairs_within(targets, hops, lambda front: front.join(links, "at").select("start", F.col("next").alias("at")))
@@ -45,13 +45,20 @@ def shared_node_pairs(occurrences: DataFrame, targets: DataFrame, hops: int) ->
 
 
 def _pairs_within(targets: DataFrame, hops: int, step) -> DataFrame:
-    front = targets.select(F.col("entity").alias("start"), F.col("entity").alias("at")).distinct()
+    """Each target walks half the way, one join a hop, only new nodes go on; two targets are as far apart as their nearest common node says. Targets walk as numbers: pairs are many, names long."""
+    hops = min(hops, 4)
+    named = staged(targets.select("entity").where("entity is not null").distinct().withColumn("start", F.monotonically_increasing_id()), "targets")
+    front = named.select("start", F.col("entity").alias("at"))
     seen = front.withColumn("distance", F.lit(0))
-    for hop in range(1, min(hops, 4) + 1):
+    for hop in range(1, (hops + 1) // 2 + 1):
         front = staged(step(front).distinct().join(seen, ["start", "at"], "left_anti"), "front")
         seen = seen.unionByName(front.withColumn("distance", F.lit(hop)))
-    ends = targets.select(F.col("entity").alias("at")).distinct()
-    return seen.join(ends, "at", "left_semi").where("start < at").select(F.col("start").alias("a"), F.col("at").alias("b"), "distance")
+    other = seen.select("at", F.col("start").alias("end"), F.col("distance").alias("rest"))
+    met = seen.join(other, "at").where((F.col("start") < F.col("end")) & (F.col("distance") + F.col("rest") <= hops))
+    near = met.groupBy("start", "end").agg(F.min(F.col("distance") + F.col("rest")).alias("distance"))
+    name = lambda n, to: named.select(F.col("start").alias(n), F.col("entity").alias(to))
+    pairs = near.join(name("start", "x"), "start").join(name("end", "y"), "end")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def candidates(occurrences: DataFrame, asked: DataFrame, newest: int = 500) -> DataFrame:

@@ -53,3 +53,21 @@ def test_bfs_hops(spark):
     targets = spark.createDataFrame([("a",), ("c",)], "entity string")
     assert graph.bfs_pairs(edges, targets, 1).count() == 0
     assert [tuple(r) for r in graph.bfs_pairs(edges, targets, 2).collect()] == [("a", "c", 2)]
+
+
+def test_walks_meet_halfway(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n0", "n0")], "a string, b string")
+    targets = spark.createDataFrame([(f"n{i}",) for i in range(6, -1, -1)] + [(None,), ("alone",)], "entity string")
+    for hops in (1, 2, 3, 4):
+        want = [(f"n{i}", f"n{k}", k - i) for i in range(7) for k in range(i + 1, min(i + hops, 6) + 1)]
+        assert sorted(map(tuple, graph.bfs_pairs(chain, targets, hops).collect())) == want
+
+
+def test_hub_beyond_the_last_hop_is_not_listed(spark, monkeypatch):
+    """Targets at both ends of two steps: the second step's neighbours, far more than the targets, are never walked to."""
+    held = spark.createDataFrame([("s", "x"), ("mid", "x"), ("mid", "y"), ("t", "y")] + [(f"far{i}", "y") for i in range(50)], "entity string, node string")
+    fronts, kept = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: fronts.append((name, (out := kept(df, name)).count())) or out)
+    targets = spark.createDataFrame([("s",), ("t",)], "entity string")
+    assert [tuple(r) for r in graph.shared_node_pairs(held, targets, 2).collect()] == [("s", "t", 2)]
+    assert fronts == [("targets", 2), ("front", 1 + 51)]
