@@ -59,7 +59,7 @@ def dense_hits(nodes: DataFrame, question: list[float], scopes: list[str] | None
 
 def fast_retrieve(
     query: str, asked: list[str], question: list[float], occurrences: DataFrame, nodes: DataFrame, edges: DataFrame | None = None,
-    scopes: list[str] | None = None, limit: int = DEFAULT_LIMIT, max_hops: int = DEFAULT_HOPS, window: tuple[int, int] | None = None,
+    scopes: list[str] | None = None, limit: int = DEFAULT_LIMIT, max_hops: int = DEFAULT_HOPS, window: tuple[int, int] | None = None, instead: bool = True,
 ) -> DataFrame:
     """(node, scope, score, rank, total, branch) of the hits; total counts them before the limit.
 
@@ -69,6 +69,7 @@ def fast_retrieve(
     entities, newest, id; the bound on steps is lowered while more than limit nodes are found and some are left. `occurrence`, where
     there are no such pairs or nodes: twice as many dense hits, those first that hold more asked entities. `dense`, where no
     entity is asked. Scopes are applied before limits, unknown nodes are no hits. A limit or bound of 0 is the default.
+    instead=False asks for shared nodes only: without any, there are no hits.
     """
     spark = nodes.sparkSession
     limit = min(limit or DEFAULT_LIMIT, MOST_LIMIT)
@@ -89,6 +90,8 @@ def fast_retrieve(
             local = near.groupBy("node").agg(matched.cast("double").alias("score"), F.max("ts_ms").alias("latest_ms"))
             known = nodes.select(F.col("id").alias("node"), "scope") if scopes is None else nodes.where(F.col("scope").isin(scopes)).select(F.col("id").alias("node"), "scope")
             return _answer(local.join(known, "node"), [F.desc("score"), F.desc("latest_ms"), F.asc("node")], limit, "local").select(columns)
+        if not instead:
+            return spark.createDataFrame([], HITS)
     hits, order = dense_hits(nodes, question, scopes, window)
     if not asked:
         return _answer(hits, order, limit, "dense").select(columns)

@@ -46,8 +46,8 @@ near AS (SELECT node, len(list_distinct(list_concat(list(a), list(b))))::DOUBLE
 hits AS (SELECT n.node, scope, score, row_number() OVER (ORDER BY score DESC, latest_ms DESC, n.node)::INT AS rank, count(*) OVER () AS total FROM near n JOIN nodes ON id = n.node WHERE scope IN {tuple(SCOPES)})
 SELECT node::VARCHAR AS node, scope, score, rank, total, 'local' AS branch FROM hits WHERE rank <= 25""")
 def retrieve_local(spark, sf):
-    """Orders that asked suppliers share, of three scopes."""
-    got = fast.fast_retrieve("who supplied this", ASKED, _question(spark, sf), occurrences(spark, sf), _nodes(spark, sf), scopes=SCOPES, limit=25)
+    """Orders that asked suppliers share, of three scopes; none where they share none."""
+    got = fast.fast_retrieve("who supplied this", ASKED, _question(spark, sf), occurrences(spark, sf), _nodes(spark, sf), scopes=SCOPES, limit=25, instead=False)
     return got.withColumn("node", F.col("node").cast("string"))
 
 

@@ -74,3 +74,9 @@ def test_pairs_through_nodes_equal_those_over_edges(spark, held):
     plain = lambda df: sorted(map(tuple, df.collect()))
     for hops in (1, 2):
         assert plain(graph.shared_node_pairs(held, targets, hops)) == plain(graph.bfs_pairs(graph.edges(held), targets, hops)) == [("alice", "bob", 1), ("alice", "launch", 1), ("bob", "launch", 1)]
+
+
+def test_no_stand_in_where_only_shared_nodes_are_asked_for(nodes, held):
+    assert ask(nodes, held, ["alice", "carol"])[1][0].branch == "occurrence"
+    assert ask(nodes, held, ["alice", "carol"], instead=False)[0] == []
+    assert len(ask(nodes, held, ["alice", "launch"], instead=False)[0]) == 3
