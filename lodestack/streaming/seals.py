@@ -9,6 +9,7 @@ the age, the buffer is sealed whatever it holds.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,44 +20,61 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from lodestack.sources.staging import shared_dir
 
 SEALED = "tree string, node long, items array<string>, tokens long, start_ms long, end_ms long, forced boolean"
+SHARES = 1024  # lists of taken ids of a tree
 _COLUMNS = ["tree", "node", "items", "tokens", "start_ms", "end_ms", "forced"]
 
 
 class SealBuffers(StatefulProcessor):
-    """Seals by tokens, flushes by age. Taken ids are known until the watermark has passed their items, which then can't come again."""
+    """Seals by tokens, flushes by age. Taken ids are known until the watermark has passed their items, which then can't come again.
+
+    State is asked once for what a batch touches, not once for an item: taken ids are kept in SHARES lists by a hash, waiting items in one list."""
 
     def __init__(self, gate: int, age_ms: int) -> None:
         self.gate, self.age_ms = gate, age_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at_ms long, item string", "tokens long")
-        self.taken = handle.getMapState("taken", "item string", "at_ms long")
+        self.waiting = handle.getListState("waiting", "at_ms long, item string, tokens long")
+        self.taken = handle.getMapState("taken", "share int", "items array<string>, at_ms array<long>")
         self.figures = handle.getValueState("figures", "node long, tokens long, oldest long, forgotten long")
 
     def _figures(self) -> list[int]:
         return [int(x) for x in self.figures.get()] if self.figures.exists() else [0, 0, -1, 0]
 
-    def _seal(self, tree: str, figures: list[int], forced: bool) -> tuple:
-        held = sorted((int(k[0]), k[1], int(v[0])) for k, v in self.waiting.iterator())
-        self.waiting.clear()
+    def _seal(self, tree: str, held: list[tuple], figures: list[int], forced: bool) -> tuple:
+        held = sorted(held)
         row = (tree, figures[0], [x[1] for x in held], sum(x[2] for x in held), held[0][0], held[-1][0], forced)
         figures[:3] = [figures[0] + 1, 0, -1]
         return row
 
+    def _new(self, came: pd.DataFrame) -> pd.DataFrame:
+        """The items that were not taken before, which are taken now."""
+        came = came.drop_duplicates("item")
+        share = came["item"].map(lambda x: zlib.crc32(x.encode()) % SHARES)
+        kept = []
+        for k, own in came.groupby(share.to_numpy(), sort=False):
+            before = self.taken.getValue((int(k),)) if self.taken.containsKey((int(k),)) else ((), ())
+            own = own[~own["item"].isin(set(before[0]))]
+            if len(own):
+                self.taken.updateValue((int(k),), ([*before[0], *own["item"]], [*map(int, before[1]), *map(int, own["at_ms"])]))
+                kept.append(own)
+        return pd.concat(kept).sort_values(["at_ms", "item"]) if kept else came[:0]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
-        came = pd.concat(list(rows)).sort_values(["at_ms", "item"])
-        figures, sealed = self._figures(), []
+        came = self._new(pd.concat(list(rows)).sort_values(["at_ms", "item"]))
+        figures, sealed, held = self._figures(), [], []
         before = figures[2]
         for item, tokens, at in zip(came["item"], came["tokens"].fillna(0).clip(lower=0), came["at_ms"], strict=True):
-            if self.taken.containsKey((item,)):
-                continue
-            self.taken.updateValue((item,), (int(at),))
-            self.waiting.updateValue((int(at), item), (int(tokens),))
+            held.append((int(at), item, int(tokens)))
             figures[1] += int(tokens)
             figures[2] = int(at) if figures[2] < 0 else min(figures[2], int(at))
             if figures[1] >= self.gate:
-                sealed.append(self._seal(key[0], figures, False))
+                sealed.append(self._seal(key[0], held if sealed else [*self._waiting(), *held], figures, False))
+                held = []
+        if sealed:
+            self.waiting.clear()
+        if held:
+            self.waiting.appendList(held)
         passed = timerValues.getCurrentWatermarkInMs()
         if passed - figures[3] >= self.age_ms:
             self._forget(passed)
@@ -65,9 +83,16 @@ class SealBuffers(StatefulProcessor):
         self._watch(before, figures[2])
         yield pd.DataFrame(sealed, columns=_COLUMNS)
 
+    def _waiting(self) -> list[tuple]:
+        return [(int(x[0]), x[1], int(x[2])) for x in self.waiting.get()] if self.waiting.exists() else []
+
     def _forget(self, passed: int) -> None:
-        for item in [k[0] for k, v in self.taken.iterator() if v[0] < passed]:
-            self.taken.removeKey((item,))
+        for k, v in list(self.taken.iterator()):
+            left = [(item, int(at)) for item, at in zip(v[0], v[1], strict=True) if at >= passed]
+            if not left:
+                self.taken.removeKey(k)
+            elif len(left) < len(v[0]):
+                self.taken.updateValue(k, ([x[0] for x in left], [x[1] for x in left]))
 
     def _watch(self, before: int, now: int) -> None:
         """One timer for each tree with waiting items, at the time its oldest one gets too old."""
@@ -79,7 +104,8 @@ class SealBuffers(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         figures = self._figures()
-        sealed = [self._seal(key[0], figures, True)] if figures[2] >= 0 else []
+        sealed = [self._seal(key[0], self._waiting(), figures, True)] if figures[2] >= 0 else []
+        self.waiting.clear()
         self.figures.update(tuple(figures))
         yield pd.DataFrame(sealed, columns=_COLUMNS)
 

@@ -1,10 +1,12 @@
 """Buffers as a stateful stream: gates, replays, late batches, flushes by age."""
 
 import datetime as dt
+from unittest.mock import MagicMock
 
+import pandas as pd
 import pytest
 
-from lodestack.streaming.seals import run_seals
+from lodestack.streaming.seals import SHARES, SealBuffers, run_seals
 
 SCHEMA = "tree string, item string, tokens long, at timestamp"
 START = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
@@ -47,3 +49,17 @@ def test_flush_by_age(spark, stream, tmp_path):
     run_seals(stream([("b", "w", 1, 201)]), 100, 60_000, "0 seconds", place)
     got = sealed(spark, place)
     assert ("a", 1, ["3"], 10, True) in got and all(x[3] < 100 and x[4] for x in got)
+
+
+def test_state_is_not_asked_for_every_item():
+    """20,000 items ask for their shares of the taken ids and little else, not thrice an item."""
+    handle, buffers, timers = MagicMock(), SealBuffers(1_000, 10**13), MagicMock()
+    for state in (handle.getListState.return_value, handle.getValueState.return_value):
+        state.exists.return_value = False
+    handle.getMapState.return_value.containsKey.return_value = False
+    timers.getCurrentWatermarkInMs.return_value = 0
+    buffers.init(handle)
+    came = pd.DataFrame({"item": [str(i) for i in range(20_000)], "tokens": 1, "at_ms": range(20_000), "tree": "a"})
+    (sealed,) = buffers.handleInputRows(("a",), iter([came[:7_000], came[7_000:], came[:50]]), timers)
+    assert len(sealed) == 20 and [x for row in sealed["items"] for x in row] == list(came["item"])
+    assert len(handle.mock_calls) < 2 * SHARES + 20
