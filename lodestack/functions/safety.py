@@ -50,7 +50,7 @@ TOKEN_HINTS = [
 ]
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with value computed once however often f names it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
@@ -72,12 +72,12 @@ def secrets_redacted(text: Column) -> Column:
     def cleaned(low: Column) -> Column:
         out = text
         for pattern in KEY_BLOCKS:
-            out = _once(out, _rewriting(_hinted(text, low, ["private key"]), pattern, KEY_MARK))
+            out = once(out, _rewriting(_hinted(text, low, ["private key"]), pattern, KEY_MARK))
         for (pattern, kept), hints in zip(TOKENS, TOKEN_HINTS, strict=True):
-            out = _once(out, _rewriting(_hinted(text, low, hints), pattern, kept + TOKEN_MARK))
+            out = once(out, _rewriting(_hinted(text, low, hints), pattern, kept + TOKEN_MARK))
         return out
 
-    return _once(F.lower(text), lambda low: F.when(_hinted(text, low, ["private key", *(h for hints in TOKEN_HINTS for h in hints)]), cleaned(low)).otherwise(text))
+    return once(F.lower(text), lambda low: F.when(_hinted(text, low, ["private key", *(h for hints in TOKEN_HINTS for h in hints)]), cleaned(low)).otherwise(text))
 
 
 def has_secret(text: Column) -> Column:
@@ -232,7 +232,7 @@ def _spans(view: Column, name: str, pattern: str, valid: Callable[[Column], Colu
             all_ = F.filter(all_, lambda x: valid(F.right(x["m"], F.lit(12)) if group else x["m"]))
         return F.transform(all_, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[REDACTED_PII_{name}]").alias("mark")))
 
-    return _once(found, lambda m: F.when(F.size(m) > 0, kept(m)).otherwise(F.array().cast(SPANS)))
+    return once(found, lambda m: F.when(F.size(m) > 0, kept(m)).otherwise(F.array().cast(SPANS)))
 
 
 def pii_spans(view: Column) -> Column:
@@ -252,7 +252,7 @@ def _original(text: Column, spans: Column) -> Column:
         place = lambda k: k + F.size(F.filter(gaps, lambda g: g <= k))
         return F.transform(spans, lambda x: F.struct(place(x["start"]).alias("start"), (place(x["end"] - 1) + 1).alias("end"), x["mark"].alias("mark")))
 
-    return F.when(text.rlike(f"[{ZERO_WIDTH}]"), _once(ends, lambda e: moved(F.slice(e, F.lit(1), F.size(e) - 1)))).otherwise(spans)
+    return F.when(text.rlike(f"[{ZERO_WIDTH}]"), once(ends, lambda e: moved(F.slice(e, F.lit(1), F.size(e) - 1)))).otherwise(spans)
 
 
 def spans_replaced(text: Column, spans: Column) -> Column:
@@ -265,7 +265,7 @@ def spans_replaced(text: Column, spans: Column) -> Column:
 def pii_redacted(text: Column) -> Column:
     """Personal data replaced by [REDACTED_PII_<class>]; what is outside of it stays as it is, wide digits and zero-width characters too. Matches are looked for in the folded text, and only where that has a hint of any; null stays null."""
     replaced = lambda t, spans: F.when(F.size(spans) > 0, spans_replaced(t, _original(t, spans))).otherwise(t)
-    return _once(folded(text), lambda view: F.when(view.rlike(PII_HINT), _once(pii_spans(view), lambda spans: replaced(text, spans))).otherwise(text))
+    return once(folded(text), lambda view: F.when(view.rlike(PII_HINT), once(pii_spans(view), lambda spans: replaced(text, spans))).otherwise(text))
 
 
 def has_pii(text: Column) -> Column:

@@ -1,16 +1,15 @@
 """Redaction inside JSON: values under sensitive keys, strings, and what is nested too deeply.
 
-A text becomes its tokens, a row each; running sums give every token's depth, and the next separator of a level ends a
-value. So nesting of any depth is windows over tokens, without a walk.
+A text becomes its tokens, an array in its own row, so nothing is shuffled. A walk over one character a token says what becomes
+of each, in time linear in the text and to any depth; the rest are columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestack.functions.safety import pii_redacted, secrets_redacted
+from lodestack.functions.safety import once, pii_redacted, secrets_redacted
 
 #: Nesting at which a value is replaced, the replacement, and how sensitive keys are, end or what they hold, as lower-case ASCII letters and digits.
 MOST_DEPTH = 128
@@ -35,35 +34,47 @@ def _quoted(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
 
 
+def _walked(codes: str | None, most_depth: int) -> str | None:
+    """What becomes of each token, a character each: n and d are replaced for their key and depth, - lies inside such a value, t is a string value, . stays."""
+    if codes is None:
+        return None
+    out, depth, hidden = [], 0, None  # hidden: the level of the value that is being left out
+    for k, c in enumerate(codes):
+        level = depth  # containers around a value; of a separator or end, the one that it is in
+        depth += (c in "{[") - (c in "}]")
+        if hidden is not None:
+            if level != hidden or c not in ",}]":
+                out.append("-")
+                continue
+            hidden = None
+        mark = "."
+        if c not in ",:}]" and codes[k + 1 : k + 2] != ":":
+            mark = "n" if codes[max(k - 2, 0) : k] == "s:" else "d" if level >= most_depth else "t" if c in 's"' else "."
+            hidden = level if mark in "nd" else None
+        out.append(mark)
+    return "".join(out)
+
+
 def sanitized(rows: DataFrame, key: str, text: str, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(key, text, key_redactions, text_redactions, depth_redactions) of JSON texts; key is unique in rows.
+    """(key, text, key_redactions, text_redactions, depth_redactions) of JSON texts; nothing is shuffled.
 
     text is the same JSON without white space between tokens, order and numbers as they were. A sensitive key's value is replaced whole, whatever it is; a value inside most_depth
     containers is replaced, too; other strings go through the redaction of texts, and text_redactions counts those that change. Keys stay. Malformed and null texts give null.
     """
-    good = rows.select(key, F.when(F.try_parse_json(text).isNotNull(), F.translate(text, BACKSLASH + QUOTE, "")).alias("lodestack_text"))
-    bare = F.replace(F.replace("lodestack_text", F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
-    whole = F.regexp_extract_all(bare, F.lit(f"({TOKEN})"), F.lit(1))
-    t = good.select(key, F.posexplode(whole).alias("k", "cut")).withColumn("token", F.replace(F.replace("cut", F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\"))).drop("cut")
-
-    order = Window.partitionBy(key).orderBy("k")
-    token, k = F.col("token"), F.col("k")
-    opens, closes = token.isin("{", "["), token.isin("}", "]")
-    depth = F.sum(opens.cast("int") - closes.cast("int")).over(order)  # after the token
-    t = t.withColumn("depth", depth).withColumn("next", F.lead("token").over(order)).withColumn("before", F.lag("token").over(order)).withColumn("last_key", F.lag("token", 2).over(order))
-    level = F.when(opens, F.col("depth") - 1).when(closes, F.col("depth") + 1).otherwise(F.col("depth"))  # containers around a value; of a separator, the one that it is in
-    ends = closes | (token == ",")
-    t = t.withColumn("level", level).withColumn("end", F.first(F.when(ends, k), True).over(Window.partitionBy(key, "level").orderBy("k").rowsBetween(1, Window.unboundedFollowing)))
-    value = ~closes & ~token.isin(",", ":") & ~F.coalesce(F.col("next") == ":", F.lit(False))
-    named = value & F.coalesce(F.col("before") == ":", F.lit(False)) & F.coalesce(is_sensitive(_string(F.col("last_key"))), F.lit(False))
-    t = t.withColumn("named", named).withColumn("deep", value & (F.col("level") >= most_depth) & ~named).withColumn("value", value)
-    reach = F.max(F.when(F.col("named") | F.col("deep"), F.col("end")))
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("inside", k < F.coalesce(reach.over(so_far), F.lit(-1))).where("not inside")
-    text_of = F.when(F.col("value") & ~F.col("named") & ~F.col("deep") & token.startswith('"'), _string(token))
-    t = t.withColumn("was", text_of).withColumn("now", pii_redacted(secrets_redacted(F.col("was"))))
-    changed = F.coalesce(F.col("was") != F.col("now"), F.lit(False))
-    shown = F.when(F.col("named") | F.col("deep"), F.lit(f'"{MARK}"')).when(changed, _quoted(F.col("now"))).otherwise(token)
-    count = lambda c, name: F.sum(c.cast("int")).cast("long").alias(name)
-    made = t.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", shown.alias("shown")))), lambda x: x["shown"]), "").alias(text), count(F.col("named"), "key_redactions"), count(changed, "text_redactions"), count(F.col("deep"), "depth_redactions"))
-    return rows.select(key).join(made, key, "left")
+    walked = F.pandas_udf(lambda codes: codes.map(lambda c: _walked(c, most_depth)), "string")
+    good = F.when(F.try_parse_json(text).isNotNull(), F.translate(text, BACKSLASH + QUOTE, ""))
+    bare = F.replace(F.replace(good, F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
+    restored = lambda cut: F.replace(F.replace(cut, F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\"))
+    t = rows.select(key, F.transform(F.regexp_extract_all(bare, F.lit(f"({TOKEN})"), F.lit(1)), restored).alias("tokens"))
+    code = lambda token: F.when(~token.startswith('"'), F.when(token.rlike(r"^[{}\[\],:]$"), token).otherwise("v")).when(F.coalesce(is_sensitive(_string(token)), F.lit(False)), "s").otherwise('"')
+    t = t.withColumn("marks", walked(F.array_join(F.transform("tokens", code), "")))
+    parts = F.filter(F.arrays_zip("tokens", F.split("marks", "").alias("marks")), lambda p: p["marks"] != "-")
+
+    said = F.transform(parts, lambda p: F.struct(p["tokens"].alias("token"), p["marks"].alias("mark"), F.when(p["marks"] == "t", _string(p["tokens"])).alias("was")))
+    clean = lambda was: F.when(was.isNotNull(), once(once(was, secrets_redacted), pii_redacted))
+    cleaned = lambda p: F.struct(p["token"].alias("token"), p["mark"].alias("mark"), p["was"].alias("was"), clean(p["was"]).alias("now"))
+    changed = lambda p: F.coalesce(p["was"] != p["now"], F.lit(False))
+    shown = lambda p: F.when(p["mark"].isin("n", "d"), F.lit(f'"{MARK}"')).when(changed(p), _quoted(p["now"])).otherwise(p["token"])
+    count = lambda which, name: F.when(F.col("marks").isNotNull(), F.size(F.filter("parts", which)).cast("long")).alias(name)
+    t = t.select(key, "marks", F.transform(said, cleaned).alias("parts"))
+    return t.select(key, F.array_join(F.transform("parts", shown), "").alias(text), count(lambda p: p["mark"] == "n", "key_redactions"), count(changed, "text_redactions"), count(lambda p: p["mark"] == "d", "depth_redactions"))

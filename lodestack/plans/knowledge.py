@@ -94,7 +94,8 @@ def transcript_logs(spark, sf):
   3 AS key_redactions, 0 AS text_redactions, 0 AS depth_redactions FROM orders""")
 def json_sanitized(spark, sf):
     """Orders as JSON with spaces between tokens, tokens and passwords among them."""
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    o = o.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")  # a small file holds work for all tasks
     body = F.concat(
         F.lit('{ "order": '), "o_orderkey", F.lit(',\n "owner": {"access_token": "t'), "o_custkey", F.lit('", "Pass-Words": [1, {"key": "}"}, [ ]], "kept": [1, {"a": null}]}, "items": ["'), "o_orderpriority",
         F.lit('", {"session key": {"x": "'), "o_orderstatus", F.lit('"}, "keys": "'), "o_orderstatus", F.lit('"} ] }'),

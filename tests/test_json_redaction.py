@@ -50,3 +50,11 @@ def test_depth_counts_and_malformed(spark):
     assert got[4][1:] == (1, 1, 0) and got[4][0].startswith('{"token":"' + MARK + '","b":"[REDACTED') and got[4][0].endswith(',"c":1.50}')
     assert got[5] == ('"plain"', 0, 0, 0)
     assert sanitized(rows.where("false"), "id", "body").count() == 0
+
+
+def test_nothing_is_shuffled(spark):
+    """A token a row made 38 rows of an order, which were dealt out by key and sorted."""
+    rows = spark.createDataFrame([(None, '{"a": [1, {"token": [2]}], "b": "x"}'), (1, "{"), (1, None)], "k long, t string")
+    made = sanitized(rows, "k", "t")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in made.collect()] == [('{"a":[1,{"token":"[REDACTED_SECRET]"}],"b":"x"}', 1, 0, 0), (None,) * 4, (None,) * 4]
