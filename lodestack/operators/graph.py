@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lodestack.sources.staging import staged
 
 
-def edges(occurrences: DataFrame) -> DataFrame:
-    """(a, b, weight, updated_ms) with a < b; weight counts distinct nodes that hold both."""
-    o = occurrences.groupBy("entity", "node").agg(F.max("ts_ms").alias("ts_ms"))
+def edges(occurrences: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(a, b, weight, updated_ms) with a < b; weight counts distinct nodes that hold both. tasks: how many share the pairs, so that none has more than it can hold; Spark's own number if not given."""
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks else df
+    o = dealt(occurrences, "node").groupBy("entity", "node").agg(F.max("ts_ms").alias("ts_ms"))
     other = o.select(F.col("entity").alias("b"), "node", F.col("ts_ms").alias("ts_b"))
     pairs = o.withColumnRenamed("entity", "a").join(other, "node").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight"), F.max(F.greatest("ts_ms", "ts_b")).alias("updated_ms"))
+    return dealt(pairs.select("a", "b", F.greatest("ts_ms", "ts_b").alias("ts_ms")), "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight"), F.max("ts_ms").alias("updated_ms"))
 
 
 def both_ways(edge_rows: DataFrame) -> DataFrame:

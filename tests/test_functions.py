@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import score as S
 from lodestack.functions import text as T
 from lodestack.operators import graph, retrieval
+from lodestack.plans import catalogue
 
 
 def one(spark, column, **values):
@@ -71,3 +72,15 @@ def test_hub_beyond_the_last_hop_is_not_listed(spark, monkeypatch):
     targets = spark.createDataFrame([("s",), ("t",)], "entity string")
     assert [tuple(r) for r in graph.shared_node_pairs(held, targets, 2).collect()] == [("s", "t", 2)]
     assert fronts == [("targets", 2), ("front", 1 + 51)]
+
+
+def test_pairs_are_dealt_out_by_the_lines(spark, tmp_path, monkeypatch):
+    """More lines, more tasks: a fixed number of them would have to hold ever more pairs each."""
+    lines = spark.range(40).selectExpr("id div 4 AS l_orderkey", "id % 7 AS l_suppkey", "id AS l_partkey", "timestamp_millis(id) AS l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(catalogue, "PAIRED_ROWS", 4)
+    for name in ("edges_distinct", "weight_groups"):
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 10
+    held = [(f"organization:{i % 7}", i // 4) for i in range(40)]
+    want = {(a, b) for a, n in held for b, m in held if n == m and a < b}
+    assert {(r.a, r.b) for r in catalogue.QUERIES["edges_distinct"](spark, str(tmp_path)).collect()} == want
