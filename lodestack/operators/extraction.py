@@ -8,6 +8,8 @@ before anything is shuffled; the state is what windows by document carry forward
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,8 @@ RULES = {
 #: Forms of lines and units.
 HEADER = r"^(From|To|Cc):\s*(.+)$"
 MAILBOX = r"(?<![^,<>])([^,<]+?)\s*<([^>]+)>"
-GRAPH = r"^([A-Za-z0-9][A-Za-z0-9 ._\-/]+?)\s+(works_on|depends_on|uses|evaluates|owns|prefers)\s+(.+)$"
+VERBS = ["works_on", "depends_on", "uses", "evaluates", "owns", "prefers"]
+GRAPH = rf"^([A-Za-z0-9][A-Za-z0-9 ._\-/]+?)\s+({'|'.join(VERBS)})\s+(.+)$"
 REVIEW = r"^([A-Za-z][A-Za-z ._-]+?) will review (.+)$"
 ACTION = r"^([A-Za-z][A-Za-z ._-]+?):\s*(.+)$"
 GIVEN = r"(?i)(?<![A-Z])([A-Z][A-Z]+(?: [A-Z][A-Z]+)?)\s+(?:gave|sent|handed|passed)\s+(.+?)\s+to\s+([A-Z][A-Z]+(?: [A-Z][A-Z]+)?)"
@@ -67,22 +70,29 @@ class Names:
     projects: dict[str, str] = field(default_factory=dict)
 
 
-def entity_class(name: Column, names: Names) -> Column:
-    """Type of an entity by its name alone; people that are known by a first name are not known here."""
-    up = N.entity_name(name)
+def _later_classes(up: Column, names: Names) -> Column:
+    """Type of an entity, not empty, that is no date, address or person by its form."""
     organization = F.exists(F.array(*map(F.lit, names.organizations)), lambda o: F.contains(up, o)) if names.organizations else F.lit(False)
     return (
-        F.when(F.coalesce(up, F.lit("")) == "", "TOPIC").when(name.rlike(DATE), "DATE").when(F.contains(up, F.lit("@")), "ORGANIZATION").when(name.rlike(PERSON), "PERSON")
-        .when(up.isin(names.products), "PRODUCT").when(F.contains(up, F.lit("MODEL")), "TOOL").when(F.contains(up, F.lit("MODE")), "MODE").when(up.rlike(WORK), "WORK_ITEM")
+        F.when(up.isin(names.products), "PRODUCT").when(F.contains(up, F.lit("MODEL")), "TOOL").when(F.contains(up, F.lit("MODE")), "MODE").when(up.rlike(WORK), "WORK_ITEM")
         .when(up.rlike(ROOMS), "ROOM").when(organization | F.endswith(up, F.lit("CORE")), "ORGANIZATION").when(up.rlike("[-_]") & ~F.contains(up, F.lit(" ")), "PROJECT").otherwise("TOPIC")
     )
 
 
-def _open_class(name: Column, names: Names) -> Column:
+def _class(name: Column, up: Column, later: Column) -> Column:
+    """up: the name as entity_name gives it, a column of its own, since it is asked for many times."""
+    return F.when(F.coalesce(up, F.lit("")) == "", "TOPIC").when(name.rlike(DATE), "DATE").when(F.contains(up, F.lit("@")), "ORGANIZATION").when(name.rlike(PERSON), "PERSON").otherwise(later)
+
+
+def entity_class(name: Column, names: Names) -> Column:
+    """Type of an entity by its name alone; people that are known by a first name are not known here."""
+    up = N.entity_name(name)
+    return _class(name, up, _later_classes(up, names))
+
+
+def _open_class(name: Column, up: Column, names: Names) -> Column:
     """Type of an entity; with a leading ? where a known first name makes it a person."""
-    found = entity_class(name, names)
-    closed = found.isin("DATE", "PERSON") | (N.entity_name(name) == "") | F.contains(name, F.lit("@"))
-    return F.when(closed, found).otherwise(F.concat(F.lit("?"), found))
+    return _class(name, up, F.concat(F.lit("?"), _later_classes(up, names)))
 
 
 def _people(value: Column) -> Column:
@@ -98,17 +108,21 @@ def _step(subject, subject_type, predicate=None, object_=None, object_type=None,
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, title, at, raw, line, form, wish, task, decided) of lines that may be a heading, header, field, statement or decision."""
-    rows = docs.select("doc", "title", F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(F.col("raw").rlike(LINE_HINT)).withColumn("line", N.fact(F.col("raw"))).where("line <> ''")
-    line, up = F.col("line"), N.entity_name(F.col("line"))
-    forms = F.when(F.col("raw").rlike(r"^\s*#"), "heading").when(line.rlike(HEADER), "header")
+    raw, line, up = F.col("raw"), F.col("line"), N.entity_name(F.col("line"))
+    holds = lambda c, *words: reduce(or_, [F.contains(c, F.lit(w)) for w in words])  # noqa: E731 (far cheaper than a pattern, so it is asked first)
+    rows = docs.select("doc", "title", F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(holds(raw, ":") | raw.rlike(LINE_HINT))
+    rows = rows.where(raw.rlike(r"[^\s:;,.-]") | (N.fact(raw) != "")).withColumn("line", N.fact(raw))
+    forms = F.when(raw.rlike(r"^\s*#"), "heading").when((line.startswith("From:") | line.startswith("To:") | line.startswith("Cc:")) & line.rlike(HEADER), "header")
     for f in FIELDS:
         forms = forms.when(line.startswith(f"{f}:"), f)
-    forms = forms.when(line.rlike(GRAPH), "graph").when(line.rlike(REVIEW), "review")
+    forms = forms.when(holds(line, *VERBS) & line.rlike(GRAPH), "graph").when(holds(line, " will review ") & line.rlike(REVIEW), "review")
     decided = (
         F.when(F.contains(up, F.lit("JSON-RPC")), "uses JSON-RPC").when(up.rlike("SHOULD USE NAMESPACE|USE NAMESPACE AS THE STORAGE|NAMESPACE AS THE MAIN SCOPE KEY"), "uses namespace")
         .when(F.contains(up, F.lit("USER_ID")) & up.rlike("DO NOT NEED|AVOID"), "avoids user_id")
     )
-    return rows.withColumn("form", forms).withColumn("wish", F.col("form").isNull() & line.startswith("I prefer ")).withColumn("task", F.col("form").isNull() & line.rlike(ACTION)).withColumn("decided", F.when(F.col("form").isNull(), decided))
+    rows, free = rows.withColumn("form", forms), F.col("form").isNull()
+    told = F.when(free & holds(F.upper(line), "JSON-RPC", "NAMESPACE", "USER_ID"), decided)
+    return rows.withColumn("wish", free & line.startswith("I prefer ")).withColumn("task", free & holds(line, ":") & line.rlike(ACTION)).withColumn("decided", told)
 
 
 def _stateful(lines: DataFrame, names: Names) -> DataFrame:
@@ -136,10 +150,12 @@ def _statements(lines: DataFrame, names: Names) -> DataFrame:
         pattern_1 = F.when(shape, F.regexp_extract(line, pattern, 1)).otherwise(pattern_1)
         pattern_2 = F.when(shape, F.regexp_extract(line, pattern, 3 if k == 0 else 2)).otherwise(pattern_2)
     rows = lines.withColumn("shape", kind).withColumn("a", F.when(F.col("shape") == 2, F.col("sender")).otherwise(pattern_1)).withColumn("b", F.when(F.col("shape") == 2, N.fact(pattern_2)).otherwise(pattern_2))
-    rows = rows.withColumn("a_type", _open_class(F.col("a"), names)).withColumn("b_type", _open_class(F.col("b"), names))
+    rows = rows.withColumn("a_up", N.entity_name(F.col("a"))).withColumn("b_up", N.entity_name(F.col("b")))
+    typed = lambda n: F.when(F.col(n).isNotNull(), _open_class(F.col(n), F.col(f"{n}_up"), names))
+    rows = rows.withColumn("a_type", typed("a")).withColumn("b_type", typed("b"))
     verb = F.when(F.col("shape") == 0, F.upper(F.regexp_extract(line, GRAPH, 2))).when(F.col("shape") == 1, "REVIEWS").when(F.col("shape") == 2, "PREFERS").when(F.col("shape") == 3, "OWNS")
     sureness = F.get(F.array(*map(F.lit, (0.87, 0.80, 0.92, 0.83))), F.col("shape"))
-    return rows.withColumn("verb", verb).withColumn("sureness", sureness).withColumn("need", F.when((F.col("shape") == 3) & (F.col("a_type") != "PERSON"), N.entity_name(F.col("a"))))
+    return rows.withColumn("verb", verb).withColumn("sureness", sureness).withColumn("need", F.when((F.col("shape") == 3) & (F.col("a_type") != "PERSON"), F.col("a_up"))).drop("a_up", "b_up")
 
 
 def primary_of(text: Column, names: Names) -> Column:
@@ -154,14 +170,14 @@ def _steps(lines: DataFrame) -> DataFrame:
 
     need: a first name that must be known by then; instead: what a line says whose first name isn't.
     """
-    form, sender = F.col("form"), F.col("sender")
-    rows = lines.withColumn("value", F.regexp_replace("line", "^[^:]*:", "")).withColumn("what", N.fact(F.col("value"))).withColumn("document", F.coalesce("primary", "title"))
-    document, what, value = F.col("document"), F.col("what"), F.col("value")
+    form, sender, people = F.col("form"), F.col("sender"), F.col("people")
+    value, document = F.regexp_replace("line", "^[^:]*:", ""), F.coalesce("primary", "title")
+    what = N.fact(value)  # a line has one case, so it is worked out for one
     fields = [
         ((form == "Date") & sender.isNotNull(), sender, "PERSON", "HAS_DEADLINE", what, "DATE", 0.75),
         (form == "Project name", value, "PROJECT", None, None, None, 0.96),
         (form == "Subproject", value, "PROJECT", None, None, None, 0.92),
-        (form == "Owner", value, "PERSON", "OWNS", F.coalesce("subject", "document"), "WORK_ITEM", 0.94),
+        (form == "Owner", value, "PERSON", "OWNS", F.coalesce("subject", document), "WORK_ITEM", 0.94),
         (form == "Name", value, "WORK_ITEM", None, None, None, 0.93),
         (form == "Due date", F.coalesce("subject", "primary", F.lit("DOCUMENT")), "WORK_ITEM", "HAS_DEADLINE", what, "DATE", 0.92),
         (form == "Target milestone", document, "PROJECT", "HAS_DEADLINE", what, "DATE", 0.92),
@@ -176,23 +192,28 @@ def _steps(lines: DataFrame) -> DataFrame:
         (decided == "avoids user_id", document, "PROJECT", "AVOIDS", "user_id", "TOPIC", 0.82),
     ]
 
-    def one(cases, need: Column, instead: bool) -> DataFrame:
-        chosen = []
-        for k, (name, kind) in enumerate(zip(STEP_NAMES, ["string"] * 5 + ["double"], strict=True)):
-            value = F.lit(None).cast(kind)
-            for case in reversed(cases):
-                said = case[k + 1] if isinstance(case[k + 1], Column) else F.lit(case[k + 1])
-                value = F.when(case[0], said.cast(kind)).otherwise(value)
-            chosen.append(value.alias(name))
-        said = rows if not instead else rows.where(decided.isNotNull() & (F.col("shape").isNull() | F.col("need").isNotNull()))
-        return said.select("doc", "at", F.lit(0).alias("k"), need.alias("need"), (F.lit(instead) & need.isNotNull()).alias("instead"), *chosen).where("subject is not null")
-
-    met = F.transform("people", lambda p: _step(p, "PERSON", confidence=0.95))
-    told = F.transform("people", lambda p: _step(sender, "PERSON", "COMMUNICATES_WITH", p, "PERSON", 0.82))
-    heads = rows.where("form = 'header'").select("doc", "at", F.posexplode(F.when(F.startswith("line", F.lit("From:")) | sender.isNull(), met).otherwise(F.concat(met, told))).alias("k", "step"))
-    heads = heads.select("doc", "at", "k", F.lit(None).cast("string").alias("need"), F.lit(False).alias("instead"), "step.*")
-    every = heads.unionByName(one(fields, F.col("need"), False)).unionByName(one(decisions, F.col("need"), True))
-    return every.select("doc", "at", (F.col("at") * 1_000_000 + F.col("k") * 2).cast("long").alias("time"), "need", "instead", *STEP_NAMES)
+    def one(cases) -> Column:
+        step = F.lit(None).cast(STEP)
+        for shape, *said in reversed(cases):
+            step = F.when(shape, _step(*said)).otherwise(step)
+        return step
+
+    def item(k, need: Column, instead: Column, step: Column) -> Column:
+        return F.struct(k.cast("int").alias("k"), need.cast("string").alias("need"), instead.alias("instead"), step.alias("step"))
+
+    no, need = F.lit(False), F.col("need")
+    met = F.transform(people, lambda p, i: item(i, F.lit(None), no, _step(p, "PERSON", confidence=0.95)))
+    told = F.transform(people, lambda p, i: item(i + F.size(people), F.lit(None), no, _step(sender, "PERSON", "COMMUNICATES_WITH", p, "PERSON", 0.82)))
+    heads = F.when(F.startswith("line", F.lit("From:")) | sender.isNull(), met).otherwise(F.concat(met, told))
+    late = decided.isNotNull() & (F.col("shape").isNull() | need.isNotNull())
+    others = F.array(item(F.lit(0), need, no, one(fields)), item(F.lit(0), need, need.isNotNull(), F.when(late, one(decisions))))
+    rows = lines.select("doc", "at", F.explode(F.when(form == "header", heads).otherwise(others)).alias("x")).where("x.step.subject is not null")
+    return _named(rows.select("doc", "at", (F.col("at") * 1_000_000 + F.col("x.k") * 2).cast("long").alias("time"), "x.need", "x.instead", "x.step.*"))
+
+
+def _named(steps: DataFrame) -> DataFrame:
+    """With subject and object as entity names."""
+    return steps.select(*[N.entity_name(F.col(c)).alias(c) if c in ("subject", "object") else c for c in steps.columns])
 
 
 def units_of(docs: DataFrame, by_sentence: bool = True) -> DataFrame:
@@ -209,36 +230,37 @@ def units_of(docs: DataFrame, by_sentence: bool = True) -> DataFrame:
 
 def _unit_steps(units: DataFrame, names: Names) -> DataFrame:
     taken = lambda pattern: [F.regexp_extract("unit", pattern, n).alias(f"g{n}") for n in (1, 2, 3)]
-    gave = units.where(F.col("unit").rlike(GIVEN)).select("doc", "at", *taken(GIVEN)).withColumn("type", _open_class(F.col("g2"), names))
+    gave = units.where(F.col("unit").rlike(GIVEN)).select("doc", "at", *taken(GIVEN)).withColumn("up", N.entity_name(F.col("g2"))).withColumn("type", _open_class(F.col("g2"), F.col("up"), names))
     gave = gave.select("doc", "at", F.posexplode(F.array(_step(F.col("g1"), "PERSON", "USES", F.col("g2"), F.col("type"), 0.62), _step(F.col("g3"), "PERSON", "USES", F.col("g2"), F.col("type"), 0.55))).alias("k", "step"))
     lies = units.where(F.col("unit").rlike(PLACED)).select("doc", "at", *taken(PLACED)).withColumn("way", F.upper("g2"))
     back = F.element_at(F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair]), F.col("way"))
     lies = lies.select("doc", "at", F.posexplode(F.array(_step(F.col("g1"), "ROOM", F.concat("way", F.lit("_OF")), F.col("g3"), "ROOM", 0.70), _step(F.col("g3"), "ROOM", F.concat(back, F.lit("_OF")), F.col("g1"), "ROOM", 0.70))).alias("k", "step"))
     rows = gave.unionAll(lies.withColumn("k", F.col("k") + 2)).withColumn("at", F.col("at") + 10**12)
-    return rows.select("doc", "at", (F.col("at") * 1_000_000 + F.col("k") * 2).cast("long").alias("time"), F.lit(None).cast("string").alias("need"), F.lit(False).alias("instead"), "step.*")
+    return _named(rows.select("doc", "at", (F.col("at") * 1_000_000 + F.col("k") * 2).cast("long").alias("time"), F.lit(None).cast("string").alias("need"), F.lit(False).alias("instead"), "step.*"))
 
 
 def _first_names(steps: DataFrame) -> DataFrame:
     """(doc, word, since, full): the first person of each first name. A task may name a person only if its own is known, so these are followed until no name is met earlier."""
-    named = lambda n, t, shift: steps.where((F.col(t) == "PERSON") & (N.entity_name(F.col(n)) != "") & (N.entity_name(F.col("subject")) != "")).select("doc", F.split(N.entity_name(F.col(n)), " ")[0].alias("word"), (F.col("time") + shift).alias("since"), N.entity_name(F.col(n)).alias("full"), "need", "instead")
-    mentions = staged(named("subject", "subject_type", 0).where("need is null").unionAll(named("object", "object_type", 1)).where("not instead"), "mentions")
+    said = lambda n, t, shift, holds: F.when((F.col(t) == "PERSON") & (F.col(n) != "") & holds, F.struct(F.split(n, " ")[0].alias("word"), (F.col("time") + shift).alias("since"), F.col(n).alias("full")))
+    sides = F.array(said("subject", "subject_type", 0, F.col("need").isNull()), said("object", "object_type", 1, F.lit(True)))
+    mentions = steps.where("subject <> '' and not instead").select("doc", "need", F.explode(sides).alias("x")).where("x is not null").select("doc", "x.*", "need")
     first = lambda m: m.groupBy("doc", "word").agg(F.min("since").alias("since"), F.min_by("full", "since").alias("full"))
     known, waiting = first(mentions.where("need is null")), mentions.where("need is not null")
+    known = staged(known, "known")
     if waiting.isEmpty():
         return known
     while True:
-        known = staged(known, "known")
         asked = known.select("doc", F.col("word").alias("need"), F.col("since").alias("lodestack_since"))
         more = waiting.join(asked, ["doc", "need"]).where("lodestack_since < since").select("doc", "word", "since", "full")
         earlier = more.join(known.select("doc", "word", F.col("since").alias("lodestack_since")), ["doc", "word"], "left").where("lodestack_since is null or since < lodestack_since")
         if earlier.isEmpty():
             return known
-        known = first(known.unionByName(more))
+        known = staged(first(known.unionByName(more)), "known")
 
 
 def _settled(steps: DataFrame, known: DataFrame) -> DataFrame:
     """Steps that count, with people by their full names and types by who was known."""
-    s = _counted(steps, known).withColumn("s", N.entity_name(F.col("subject"))).withColumn("o", N.entity_name(F.col("object")))
+    s = _counted(steps, known).withColumnsRenamed({"subject": "s", "object": "o"})
     for n in ("s", "o"):
         s = s.join(known.select("doc", F.col("word").alias(n), F.col("since").alias(f"{n}_since"), F.col("full").alias(f"{n}_full")), ["doc", n], "left")
     time = F.col("time")
@@ -274,6 +296,29 @@ def _marks(lines: DataFrame) -> DataFrame:
     return rows.withColumn("instead", F.col("instead") & F.col("need").isNotNull())
 
 
+def _read(docs: DataFrame, names: Names, by_sentence: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines, steps and first names of docs, all staged."""
+    docs = docs.select("doc", "title", F.coalesce("text", F.lit("")).alias("text"))
+    lines = staged(_statements(_stateful(lines_of(docs), names), names), "lines")
+    steps = staged(_steps(lines).unionByName(_unit_steps(units_of(docs, by_sentence), names)), "steps")
+    return lines, steps, _first_names(steps)
+
+
+def _facts(lines: DataFrame, known: DataFrame) -> DataFrame:
+    marks = _counted(_marks(lines), known)
+    sorted_set = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
+    told = marks.groupBy("doc").agg(sorted_set("tag"), sorted_set("decision"), sorted_set("preference"))
+    primary = lines.groupBy("doc").agg(F.max_by("primary", "at").alias("primary"))
+    facts = primary.join(told, "doc", "left").select("doc", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("tags", "decisions", "preferences")], F.when((F.size("decisions") > 0) | (F.size("preferences") > 0), "profile").alias("kind"), "primary", F.col("tags").isNotNull().alias("told"))
+    return facts.where("told or primary is not null").drop("told")
+
+
+def facts_of(docs: DataFrame, names: Names | None = None, by_sentence: bool = True) -> DataFrame:
+    """What documents say, the third table of `extract`, without working out entities and relations."""
+    lines, _, known = _read(docs, names or Names(), by_sentence)
+    return _facts(lines, known)
+
+
 def extract(docs: DataFrame, names: Names | None = None, by_sentence: bool = True, least_entity: float = 0.45, least_relation: float = 0.30) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities (doc, name, type, confidence, aliases), relations (doc, subject, subject_type, predicate, object, object_type, confidence, evidence, at) and what a document says
     (doc, tags, decisions, preferences, kind, primary) of docs (doc, title, text); doc is a unique id.
@@ -281,11 +326,7 @@ def extract(docs: DataFrame, names: Names | None = None, by_sentence: bool = Tru
     An entity keeps the type it is met with first and its best confidence; a relation needs a rule that allows both types and two different names.
     Short names go to the longest of their type that begins or ends with them. evidence counts lines and units. Null texts and titles are empty ones; documents in which nothing is said have no rows.
     """
-    names = names or Names()
-    docs = docs.select("doc", "title", F.coalesce("text", F.lit("")).alias("text"))
-    lines = staged(_statements(_stateful(lines_of(docs), names), names), "lines")
-    steps = staged(_steps(lines).unionByName(_unit_steps(units_of(docs, by_sentence), names)), "steps")
-    known = _first_names(steps)
+    lines, steps, known = _read(docs, names or Names(), by_sentence)
     settled = staged(_settled(steps, known), "settled")
     sides = F.array(F.struct(F.col("subject").alias("name"), F.col("subject_type").alias("type"), F.col("time")), F.struct(F.col("object").alias("name"), F.col("object_type").alias("type"), (F.col("time") + 1).alias("time")))
     met = settled.select("doc", "confidence", F.explode(sides).alias("x")).select("doc", "x.*", "confidence").where("name <> ''")
@@ -307,13 +348,7 @@ def extract(docs: DataFrame, names: Names | None = None, by_sentence: bool = Tru
         F.min_by("subject_type", "time").alias("subject_type"), F.min_by("object_type", "time").alias("object_type"), F.max("confidence").alias("confidence"), F.count_distinct("at").alias("evidence"), F.min("at").alias("at")
     )
 
-    marks = _counted(_marks(lines), known)
-    sorted_set = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
-    told = marks.groupBy("doc").agg(sorted_set("tag"), sorted_set("decision"), sorted_set("preference"))
-    primary = lines.groupBy("doc").agg(F.max_by("primary", "at").alias("primary"))
-    facts = primary.join(told, "doc", "left").select("doc", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("tags", "decisions", "preferences")], F.when((F.size("decisions") > 0) | (F.size("preferences") > 0), "profile").alias("kind"), "primary", F.col("tags").isNotNull().alias("told"))
-    facts = facts.where("told or primary is not null").drop("told")
-    return entities.where(F.col("confidence") >= least_entity), relations.where(F.col("confidence") >= least_relation), facts
+    return entities.where(F.col("confidence") >= least_entity), relations.where(F.col("confidence") >= least_relation), _facts(lines, known)
 
 
 def enriched(docs: DataFrame, facts: DataFrame) -> DataFrame:

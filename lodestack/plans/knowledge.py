@@ -56,7 +56,7 @@ SELECT doc, 'deadline|decision|order|preference' AS tags, replace(item, '-', ' '
 def enriched_notes(spark, sf):
     """The notes with the tags and the kind that what they say gives them."""
     notes = order_notes(spark, sf).withColumn("kind", F.lit(None).cast("string"))
-    facts = extraction.extract(notes)[2]
+    facts = extraction.facts_of(notes)
     told = facts.select("doc", F.array_join("decisions", "|").alias("decisions"), F.array_join("preferences", "|").alias("preferences"))
     return extraction.enriched(notes, facts).join(told, "doc").select("doc", F.array_join("tags", "|").alias("tags"), "decisions", "preferences", "kind")
 
