@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -155,6 +156,16 @@ def test_range_coder_round_trip():
         decode_ids([payloads[0][:-1] + b"\xff", *payloads[1:]], checks, n)
 
 
+def test_coder_takes_little_time():
+    """op6: a group of a million ids took minutes of one core; both forms of a block, the largest ids too."""
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([rng.integers(0, 65_536, 300_000), np.minimum(rng.zipf(1.4, 700_000), 65_535), np.full(100, 65_535), np.full(3, 255)])
+    begun = time.process_time()
+    payloads, checks = encode_ids(ids)
+    assert (decode_ids(payloads, checks, len(ids)) == ids).all()
+    assert time.process_time() - begun < 5 and {p[0] for p in payloads} == {0, 1}
+
+
 def test_token_files(spark):
     got = sorted(tuple(r) for r in token_digests(docs(spark, ["Hello  World", None, "a"]), vocabulary("word_bpe_49k.json")).collect())
     assert [(g[0], g[1], g[2]) for g in got] == [(0, 0, 3), (1, 3, 1), (2, 4, 2)]
