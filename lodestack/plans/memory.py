@@ -25,6 +25,9 @@ ENTITY_PATTERNS = {
     "discord": r"\b([A-Za-z0-9_.]{2,32}#[0-9]{4})\b",
     "hashtag": r"(?:^|[^A-Za-z0-9_#&/])(#[A-Za-z][A-Za-z0-9_]{1,63})\b",
 }
+#: What each holds at least, and the same patterns that begin with it, so that other places are passed over quickly.
+ENTITY_SIGNS = {"email": "@", "url": "://", "handle": "@", "discord": "#", "hashtag": "#"}
+ENTITY_FORMS = {"handle": r"(@(?<![A-Za-z0-9_@.]@)[A-Za-z0-9_]{2,32})\b", "hashtag": r"(#(?<![A-Za-z0-9_#&/]#)[A-Za-z][A-Za-z0-9_]{1,63})\b"}
 
 
 def clamped(limit: int | None, default: int = 100, most: int = 10_000) -> int:
@@ -376,8 +379,9 @@ def boundary_flags(spark, sf):
 
 def _entities(text: Column) -> Column:
     """(kind, surface) of addresses, links, handles, name#1234 and hashtags, in this order."""
+    none = F.array().cast("array<struct<kind:string,surface:string>>")
     found = lambda kind, p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("surface")))
-    return F.flatten(F.array(*[found(k, p) for k, p in ENTITY_PATTERNS.items()]))
+    return F.flatten(F.array(*[F.when(F.contains(text, F.lit(ENTITY_SIGNS[k])), found(k, ENTITY_FORMS.get(k, p))).otherwise(none) for k, p in ENTITY_PATTERNS.items()]))
 
 
 _ENT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}', 1)) AS surface FROM documents" for k, p in ENTITY_PATTERNS.items())
@@ -385,7 +389,8 @@ _ENT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_
 
 @query(f"SELECT kind, CASE WHEN kind = 'url' THEN 'url:' || surface ELSE kind || ':' || lower(regexp_replace(surface, '^[@#]+', '')) END AS entity_id, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM ({_ENT}) GROUP BY 1, 2")
 def entities_by_kind(spark, sf):
-    e = table(spark, sf, "documents").select("doc_id", F.explode(_entities(F.col("text"))).alias("e")).select("doc_id", "e.kind", "e.surface")
+    # outer: else Spark works out the array for a filter as well
+    e = table(spark, sf, "documents").select("doc_id", F.explode_outer(_entities(F.col("text"))).alias("e")).where("e is not null").select("doc_id", "e.kind", "e.surface")
     return e.groupBy("kind", T.canonical_id(F.col("kind"), F.col("surface")).alias("entity_id")).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n"))
 
 
