@@ -110,7 +110,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, title, at, raw, line, form, wish, task, decided) of lines that may be a heading, header, field, statement or decision."""
     raw, line, up = F.col("raw"), F.col("line"), N.entity_name(F.col("line"))
     holds = lambda c, *words: reduce(or_, [F.contains(c, F.lit(w)) for w in words])  # noqa: E731 (far cheaper than a pattern, so it is asked first)
-    rows = docs.select("doc", "title", F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(holds(raw, ":") | raw.rlike(LINE_HINT))
+    rows = docs.select("doc", "title", F.posexplode_outer(F.split("text", "\n")).alias("at", "raw")).where(holds(raw, ":") | raw.rlike(LINE_HINT))
     rows = rows.where(raw.rlike(r"[^\s:;,.-]") | (N.fact(raw) != "")).withColumn("line", N.fact(raw))
     forms = F.when(raw.rlike(r"^\s*#"), "heading").when((line.startswith("From:") | line.startswith("To:") | line.startswith("Cc:")) & line.rlike(HEADER), "header")
     for f in FIELDS:
@@ -207,7 +207,8 @@ def _steps(lines: DataFrame) -> DataFrame:
     heads = F.when(F.startswith("line", F.lit("From:")) | sender.isNull(), met).otherwise(F.concat(met, told))
     late = decided.isNotNull() & (F.col("shape").isNull() | need.isNotNull())
     others = F.array(item(F.lit(0), need, no, one(fields)), item(F.lit(0), need, need.isNotNull(), F.when(late, one(decisions))))
-    rows = lines.select("doc", "at", F.explode(F.when(form == "header", heads).otherwise(others)).alias("x")).where("x.step.subject is not null")
+    # outer: else Spark works out the array for a filter as well
+    rows = lines.select("doc", "at", F.explode_outer(F.when(form == "header", heads).otherwise(others)).alias("x")).where("x.step.subject is not null")
     return _named(rows.select("doc", "at", (F.col("at") * 1_000_000 + F.col("x.k") * 2).cast("long").alias("time"), "x.need", "x.instead", "x.step.*"))
 
 
