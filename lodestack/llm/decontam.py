@@ -37,12 +37,12 @@ def _template(text: Column, names: bool = True) -> tuple[Column, Column]:
     marked = F.regexp_replace(whole, r"(?=\p{Lu}\p{Ll})(?<=[^\s.!?:;|] )", "\u0001") if names else whole
     numbered = F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}])[$€£]?[+-]?{NUMBER}%?(?![\p{{L}}\p{{N}}])", "\u0002$0")
     united = F.regexp_replace(numbered, rf"(?i)(\u0002[^\s\p{{L}}]+\s+)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1\u0003$2")
-    held = F.when(whole.rlike("[0-9]"), united).otherwise(marked)
+    held = F.when(text.rlike("[0-9]"), united).otherwise(marked)  # by the text itself, and below without a question: each step is worked out once for a text
     spaced = F.regexp_replace(F.regexp_replace(held, r"[\p{Punct}&&[^$%+-]]+", ""), r" [ +-]*(?: |$)", " ")
     held = F.lower(F.trim(spaced))
     held = F.regexp_replace(held, "(\u0001\\S*) (?=\u0001)", "$1\u0004") if names else held
     plain = F.translate(held, "\u0001\u0002\u0003", "")
-    kinds = F.when(held.rlike("[\u0001-\u0003]"), F.regexp_replace(held, "([\u0001-\u0003])\\S*", "$1")).otherwise(held)
+    kinds = F.regexp_replace(held, "([\u0001-\u0003])\\S*", "$1")
     return F.split(plain, " "), F.split(kinds, " ")
 
 

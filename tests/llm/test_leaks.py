@@ -54,3 +54,13 @@ def test_whole_short_items_equal_a_plain_search(spark):
     for i, k in got:  # nothing is reported with less than four fifths of the item's words
         have = texts[i].split()
         assert sum(w in have for w in items[k].split()) >= 0.8 * len(items[k].split())
+
+
+def test_a_text_is_made_a_template_once(spark):
+    """op2: conditions that asked for a half-made template had it made again, nine times in the plan; its two cases are left."""
+    from pyspark.sql import functions as F
+
+    from lodestack.llm.decontam import _template
+
+    plan = spark.createDataFrame([("a 5 km",)], "text string").select(_template(F.col("text"))[1].alias("words"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"[\s\p{Z}]+") == 2
