@@ -22,6 +22,12 @@ def _with_least(pairs: DataFrame, key: str, value: str) -> DataFrame:
     return salted.join(some.join(least, key).select(key, "salt", "m"), [key, "salt"]).drop("salt")
 
 
+def _each_of(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(hi, lo), for every row its columns of each pair; rows are read once."""
+    made = [F.struct(F.col(hi).alias("hi"), F.col(lo).alias("lo")) for hi, lo in pairs]
+    return rows.select(F.explode(F.array(*made)).alias("pair")).select("pair.hi", "pair.lo")
+
+
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has an edge to another one; component is the smallest node reachable.
 
@@ -32,12 +38,13 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     now = staged(edges.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"), (x != y).alias("ok")).where("ok").select("hi", "lo").distinct(), "edges")
     was = _state(now)
     for _ in range(most_rounds if was[0] else 0):
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
+        both = _each_of(now, ("hi", "lo"), ("lo", "hi")).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+        # written, for each step names its input three times: a plan of both would hold every row's way here eighteen times
+        large = staged(_with_least(both, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")), "edges")
         low = _with_least(large, "hi", "lo")
-        small = low.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        old, now = now, staged(small.unionAll(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        old, now = now, staged(_each_of(low, ("lo", "m"), ("hi", "m")).where("hi != lo").distinct(), "edges")
         discard(old)
+        discard(large)
         state = _state(now)
         if state == was:
             break
