@@ -9,24 +9,24 @@ from lodestack.functions import score as S
 from lodestack.operators import graph
 from lodestack.sources.staging import staged
 
-#: Limits of an answer, steps between entities, and how many of an entity's newest occurrences count.
+#: Limits of an answer, and steps between entities.
 DEFAULT_LIMIT, MOST_LIMIT = 10, 100
 DEFAULT_HOPS, MOST_HOPS = 2, 4
-NEWEST = 500
 HITS = "node string, scope string, score double, rank int, total long, branch string"
 
 
-def pair_candidates(occurrences: DataFrame, pairs: DataFrame, newest: int = NEWEST) -> DataFrame:
-    """(node, a, b, distance, ts_ms) of nodes that hold both entities of a pair, among each entity's newest occurrences.
+def pair_candidates(occurrences: DataFrame, pairs: DataFrame, newest: int | None = None) -> DataFrame:
+    """(node, a, b, distance, ts_ms) of all nodes that hold both entities of a pair.
 
-    occurrences: (entity, node, ts_ms); pairs: (a, b, distance), a few. At most `newest` rows for each entity of a pair leave the first step.
+    occurrences: (entity, node, ts_ms); pairs: (a, b, distance), a few. A host that would rather not look at all may give `newest`: how many of each entity's newest occurrences count.
     """
     named = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
     own = occurrences.join(F.broadcast(named), "entity").groupBy("entity", "node").agg(F.max("ts_ms").alias("ts_ms"))
-    rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("ts_ms"), "node"))
-    newest_of = own.withColumn("rank", rank).where(F.col("rank") <= newest).drop("rank")
-    left = newest_of.select(F.col("entity").alias("a"), "node", F.col("ts_ms").alias("left_ms")).join(F.broadcast(pairs), "a")
-    right = newest_of.select(F.col("entity").alias("b"), "node", F.col("ts_ms").alias("right_ms"))
+    if newest is not None:
+        rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("ts_ms"), "node"))
+        own = own.withColumn("rank", rank).where(F.col("rank") <= newest).drop("rank")
+    left = own.select(F.col("entity").alias("a"), "node", F.col("ts_ms").alias("left_ms")).join(F.broadcast(pairs), "a")
+    right = own.select(F.col("entity").alias("b"), "node", F.col("ts_ms").alias("right_ms"))
     return left.join(right, ["b", "node"]).select("node", "a", "b", "distance", F.greatest("left_ms", "right_ms").alias("ts_ms"))
 
 

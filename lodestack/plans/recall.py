@@ -40,7 +40,7 @@ _LIVE = "SELECT id, scope, entities, end_ms, round(list_cosine_similarity(list_t
 _FIRST = "score DESC NULLS LAST, CASE WHEN score IS NOT NULL THEN end_ms END DESC, scope, id"
 
 
-@query(f"""WITH {NODES}, own AS (SELECT entity, node, ts_ms FROM occ WHERE entity IN {tuple(ASKED)} QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ts_ms DESC, node) <= 500),
+@query(f"""WITH {NODES}, own AS (SELECT entity, node, ts_ms FROM occ WHERE entity IN {tuple(ASKED)}),
 pairs AS (SELECT x.node, x.entity AS a, y.entity AS b, greatest(x.ts_ms, y.ts_ms) AS ts_ms FROM own x JOIN own y ON x.node = y.node AND x.entity < y.entity),
 near AS (SELECT node, len(list_distinct(list_concat(list(a), list(b))))::DOUBLE AS score, max(ts_ms) AS latest_ms FROM pairs GROUP BY node),
 hits AS (SELECT n.node, scope, score, row_number() OVER (ORDER BY score DESC, latest_ms DESC, n.node)::INT AS rank, count(*) OVER () AS total FROM near n JOIN nodes ON id = n.node WHERE scope IN {tuple(SCOPES)})
