@@ -12,8 +12,8 @@ NUL, UNIT = "\x00", "\x1f"
 ENGAGEMENT = {"sent": 0.6, "reply": 0.5, "dm": 0.3, "mention": 0.2}
 #: Labels of earlier versions and what they are called now.
 LEGACY_LABELS = {"work": "general", "from_reflection": "subconscious", "subconscious_tick": "subconscious", "agent-task": "tasks", "worker": "tasks"}
-#: White space at the ends, or other than single blanks.
-UNTIDY = r"^\s|\s$|[^\S ]|  "
+#: Words with single blanks between them, which neither begin nor end with these signs; read once, from left to right.
+TIDY = r"\A(?![%s])(?:\S++ ?+)*+(?<![ %s\u0085\u2028\u2029])\z"
 RESERVED = r'[\\/:*?"<>|]'
 
 
@@ -30,13 +30,13 @@ def predicate(text: Column) -> Column:
 def entity_name(text: Column) -> Column:
     """Upper-case, without punctuation at the ends, white space collapsed. What needs no change is looked at once."""
     tidy = collapsed(F.regexp_replace(bare(text), r"""^[-:;,."'()]+|[-:;,."'()]+$""", ""))
-    return F.upper(F.when(text.rlike(rf"""^[-:;,."'()]|[-:;,."'()]$|{UNTIDY}"""), tidy).otherwise(text))
+    return F.upper(F.when(text.rlike(TIDY % (("""-:;,."'()""",) * 2)), text).otherwise(tidy))
 
 
 def fact(text: Column) -> Column:
     """Without leading hyphens and punctuation at the ends, white space collapsed. What needs no change is looked at once."""
     tidy = collapsed(F.regexp_replace(bare(F.regexp_replace(bare(text), "^-+", "")), "^[:;,.]+|[:;,.]+$", ""))
-    return F.when(text.rlike(f"^[-:;,.]|[:;,.]$|{UNTIDY}"), tidy).otherwise(text)
+    return F.when(text.rlike(TIDY % ("-:;,.", ":;,.")), text).otherwise(tidy)
 
 
 def search_text(text: Column) -> Column:
